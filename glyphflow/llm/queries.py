@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, decontaminate, licenses, quality, simhash, url_rules
+from . import bpe, class_lm, decontaminate, licenses, quality, sharding, simhash, url_rules
 from .common import Scratch
 
 
@@ -34,6 +34,11 @@ def op3_token_counts(spark, sf_dir):
     return bpe.count_tokens(table(spark, sf_dir, "documents"), vocabulary(), keep=["doc_id"])
 
 
+def op4_sharding(spark, sf_dir):
+    found = sharding.assign(table(spark, sf_dir, "documents"), Scratch(spark))
+    return found.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_decontaminate(spark, sf_dir):
     found = decontaminate.find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark), keep=["doc_id"])
     return decontaminate.report(found, ["doc_id"])
@@ -57,7 +62,7 @@ def op9_url_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_token_counts, op5_decontaminate, op6_bpe_codec, op7_simhash_dedup, op8_class_lm, op9_url_rules)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_token_counts, op4_sharding, op5_decontaminate, op6_bpe_codec, op7_simhash_dedup, op8_class_lm, op9_url_rules)}
 
 
 def oracle_sql():
