@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, decontaminate, licenses, quality, sharding, simhash, url_rules
+from . import bpe, class_lm, decontaminate, licenses, quality, sharding, simhash, suffixes, url_rules
 from .common import Scratch
 
 
@@ -61,8 +61,12 @@ def op9_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return suffixes.removal_digests(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_token_counts, op4_sharding, op5_decontaminate, op6_bpe_codec, op7_simhash_dedup, op8_class_lm, op9_url_rules)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_token_counts, op4_sharding, op5_decontaminate, op6_bpe_codec, op7_simhash_dedup, op8_class_lm, op9_url_rules, op10_suffix_dedup)}
 
 
 def oracle_sql():
