@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Records and bytes in one Arrow batch that Python workers receive; bounds a worker's memory.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: A-Z to a-z, and all ASCII bytes that are no word bytes to a space; bytes of other code points stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ALNUM = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in LOWER)
@@ -40,6 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Python workers get at most BATCH_ROWS rows at once, as texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, so that a lost executor costs no repeated work.
 
@@ -48,6 +56,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
+        bound_batches(spark)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/glyphflow/{uuid.uuid4().hex}"
@@ -83,7 +92,7 @@ def text_column(batch: pa.RecordBatch, name: str = "_text") -> list[bytes]:
     return batch.column(name).to_pylist()
 
 
-def slices(batches, rows: int = BATCH_ROWS, size: int = 16 << 20):
+def slices(batches, rows: int = BATCH_ROWS, size: int = 8 << 20):
     """Arrow batches cut to at most the given rows and, where there is more than one row, about the given bytes of _text."""
     for batch in batches:
         at = 0
@@ -103,6 +112,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, each,
 
     schema names and types what is appended. Nothing is shuffled, and a lost task repeats only its own split.
     """
+    bound_batches(df.sparkSession)
     source = texts(df, text_col, *keep)
     added = source.sparkSession.createDataFrame([], schema).schema
     out = type(added)([f for f in source.schema.fields if f.name != "_text"] + added.fields)

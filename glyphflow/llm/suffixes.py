@@ -14,7 +14,7 @@ each bucket sorts by multikey quicksort (equal first tokens are sorted by the ne
 decides at a bucket's ends is compared across boundaries: two suffixes a bucket. A token that fills several buckets is
 dealt over all of them, so a passage that stands in a third of all documents is no hot spot; the splitters only balance.
 
-Tokens are 64-bit hashes, and equality always takes 128 further bits. Documents are known by a 64-bit hash of id and text,
+Tokens are 64-bit hashes of bytes, and equality always takes two independent ones. Documents are known by a 64-bit hash of id and text,
 so that lost tasks repeat alike; texts are joined to the spans by it. Nulls are empty texts. Repeated rows are copies of
 each other, and all their bytes in repeated strings go. Matches never cross documents.
 """
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, collect_garbage, slices, text_column, texts
 
-SPAN, REACH = 200, 96
+SPAN, REACH = 200, 128
 #: Any string of SPAN bytes holds so many bytes from its anchor on.
 CONTEXT = SPAN - REACH + 1
 #: Suffixes in a bucket as planned, keys in the sample for a bucket, bytes that are worked on at once.
-BUCKET_ROWS, SAMPLE_KEYS, CHUNK = 1 << 20, 256, 4 << 20
+BUCKET_ROWS, SAMPLE_KEYS, CHUNK = 1 << 20, 256, 1 << 20
 
 
 def units(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,36 +88,48 @@ def chunks(rows):
 
 
 def unit_records(group):
-    """Columns (k, u1, u2, row, first, last): tokens of the unit's suffix, and its strings' starts in the row's text."""
+    """Columns (k, u, row, first, more) of suffixes: two tokens of the unit, its row, its first start there, and how many more starts it has."""
     buffer = b"".join(t for _, _, t in group)
     ends = np.cumsum([len(t) for _, _, t in group])
     starts = ends - np.array([len(t) for _, _, t in group])
     doc, lo, hi, anchor = units(buffer, starts, ends)
-    h64, h128 = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+    h64 = xxhash.xxh3_64_intdigest
     view = memoryview(buffer)
-    k = np.array([h64(view[a : a + CONTEXT]) for a in anchor.tolist()], dtype=np.uint64).view(np.int64)
-    u = np.frombuffer(b"".join([h128(view[a : b + SPAN]) for a, b in zip(lo.tolist(), hi.tolist())]), dtype=np.int64).reshape(-1, 2)
+    k = np.array([h64(view[a : a + CONTEXT]) for a in anchor.tolist()], dtype=np.uint64)
+    u = np.array([h64(view[a : b + SPAN], 1) for a, b in zip(lo.tolist(), hi.tolist())], dtype=np.uint64)
     rows, shift = np.array([r for r, _, _ in group], dtype=np.int64), np.array([b for _, b, _ in group], dtype=np.int64) - starts
-    return k, u[:, 0], u[:, 1], rows[doc], lo + shift[doc], hi + shift[doc]
+    return k, u, rows[doc], lo + shift[doc], hi - lo
 
 
-def string_records(row: int, text: bytes, spans: list[tuple[int, int]], size: int = 200_000):
-    """The same columns for each string that starts in the spans [first, last], a part at a time; its tokens are 64 and 64 bits."""
+def string_records(row: int, text: bytes, spans: list[tuple[int, int]], size: int = 100_000):
+    """The same columns for each string that starts in the spans [first, last], a part at a time."""
     digest, view = xxhash.xxh3_128_digest, memoryview(text)
     at = np.concatenate([np.arange(a, b + 1) for a, b in spans]) if spans else np.zeros(0, dtype=np.int64)
     for begin in range(0, len(at), size):
         p = at[begin : begin + size]
-        u = np.frombuffer(b"".join([digest(view[x : x + SPAN]) for x in p.tolist()]), dtype=np.int64).reshape(-1, 2)
-        yield u[:, 0], u[:, 1], np.zeros(len(p), dtype=np.int64), np.full(len(p), row, dtype=np.int64), p, p
+        h = np.frombuffer(b"".join([digest(view[x : x + SPAN]) for x in p.tolist()]), dtype=np.uint64).reshape(-1, 2)
+        yield h[:, 0].copy(), h[:, 1].copy(), np.full(len(p), row, dtype=np.int64), p, np.zeros(len(p), dtype=np.int64)
 
 
-RECORD = "k long, u1 long, u2 long, row long, first int, last int"
-TYPES = {"k": pa.int64(), "u1": pa.int64(), "u2": pa.int64(), "row": pa.int64(), "first": pa.int32(), "last": pa.int32()}
+#: How the columns of records travel: many records of one bucket in one binary value, column after column.
+LAYOUT = (("k", "<u8"), ("u", "<u8"), ("row", "<i8"), ("first", "<u4"), ("more", "u1"))
+WIDTH = sum(np.dtype(t).itemsize for _, t in LAYOUT)
+#: Records that a task gathers before it sends them to their buckets.
+FLUSH = 200_000
 
 
-def record_batches(cols, size: int = 50_000):
-    for at in range(0, len(cols[0]), size):
-        yield pa.RecordBatch.from_pydict({n: pa.array(c[at : at + size], t) for (n, t), c in zip(TYPES.items(), cols)})
+def pack(cols, at: np.ndarray) -> bytes:
+    return b"".join(c[at].astype(t).tobytes() for c, (_, t) in zip(cols, LAYOUT))
+
+
+def unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    parts: dict[str, list] = {n: [] for n, _ in LAYOUT}
+    for blob in blobs:
+        n, at = len(blob) // WIDTH, 0
+        for name, t in LAYOUT:
+            parts[name].append(np.frombuffer(blob, dtype=t, count=n, offset=at))
+            at += n * np.dtype(t).itemsize
+    return {name: np.concatenate(x) for name, x in parts.items()}
 
 
 def multikey_sort(keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -148,75 +160,111 @@ def run_lengths(begins: np.ndarray) -> np.ndarray:
 
 
 class Splitters:
-    """Sampled keys (first token, second token), as sorted 16-byte strings in the order of unsigned numbers."""
+    """Sampled keys (first token, second token) in order; a suffix goes to the bucket between the splitters around it."""
 
     def __init__(self, sample: list[tuple[int, int]], buckets: int):
-        keys = np.sort(self.packed(np.array([k for k, _ in sample], dtype=np.int64), np.array([u for _, u in sample], dtype=np.int64)))
+        keys = np.sort(self.packed(np.array([k for k, _ in sample], dtype=np.uint64), np.array([u for _, u in sample], dtype=np.uint64)))
         self.keys = keys[np.linspace(0, len(keys), buckets + 1).astype(int)[1:-1]] if len(keys) and buckets > 1 else keys[:0]
 
     @staticmethod
     def packed(k: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """16-byte strings that sort like the pairs."""
         both = np.empty((len(k), 2), dtype=">u8")
-        both[:, 0], both[:, 1] = k.view(np.uint64), u.view(np.uint64)
-        return np.frombuffer(both.tobytes(), dtype="V16").view("S16") if len(k) else np.zeros(0, dtype="S16")
+        both[:, 0], both[:, 1] = k, u
+        return np.frombuffer(both.tobytes(), dtype="S16") if len(k) else np.zeros(0, dtype="S16")
 
     def bucket(self, k: np.ndarray, u: np.ndarray, salt: np.ndarray) -> np.ndarray:
         """Keys that several splitters equal are dealt over those buckets."""
         key = self.packed(k, u)
         lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-        return lo + (salt.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % (hi - lo + 1)
+        return lo + (salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % (hi - lo + 1)
+
 
+def sample_keys(rows: DataFrame, records) -> list[tuple[int, int]]:
+    """Keys of sampled rows on the driver, SAMPLE_KEYS a bucket on the average."""
+
+    def run(batches):
+        for k, u, *_ in records(batches):
+            yield pa.RecordBatch.from_pydict({"k": pa.array(k.view(np.int64)), "u": pa.array(u.view(np.int64))})
 
-def sorted_buckets(records: DataFrame, sample: list, rows: int, scratch: Scratch) -> DataFrame:
-    """(row, first, last, full): records that share the first token with another one; full if all tokens.
+    mask = (1 << 64) - 1
+    return [(r["k"] & mask, r["u"] & mask) for r in rows.mapInArrow(run, "k long, u long").collect()]
 
-    Where records of one first token differ in the others, one of each set of equal ones comes a second time as not full.
+
+def sorted_buckets(rows: DataFrame, records, sample: list, expected: int, scratch: Scratch) -> DataFrame:
+    """(row, first, last, full): records that share the first token with another one; full if both tokens.
+
+    Where records of one first token differ in the second, one of each set of equal ones comes a second time as not full.
+    records(batches) gives columns in the order of LAYOUT.
     """
-    spark = records.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+    spark = rows.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // BUCKET_ROWS))
     splitters = spark.sparkContext.broadcast(Splitters(sample, buckets))  # one key a bucket
 
     def deal(batches):
-        for batch in batches:
-            k, u1, row, first = (batch.column(c).to_numpy() for c in ("k", "u1", "row", "first"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(splitters.value.bucket(k, u1, row + first), pa.int32())], names=[*TYPES, "bucket"])
-
-    dealt = records.mapInArrow(deal, RECORD + ", bucket int").repartitionById(buckets, F.col("bucket"))
-    scheme = "row long, first int, last int, full boolean, bucket int, side int, k long, u1 long, u2 long"
+        held, size = [], 0
+
+        def out():
+            cols = [np.concatenate(x) for x in zip(*held)]
+            bucket = splitters.value.bucket(cols[0], cols[1], cols[2] + cols[3])
+            order = np.argsort(bucket, kind="stable")
+            present, begin = np.unique(bucket[order], return_index=True)
+            blobs = [pack(cols, at) for at in np.split(order, begin[1:])]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(present, pa.int32()), "data": pa.array(blobs, pa.binary())})
+
+        for cols in records(batches):
+            if len(cols[0]):
+                held.append(cols)
+                size += len(cols[0])
+            if size >= FLUSH:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    scheme = "row long, first long, last long, full boolean, bucket int, side int, k long, u long"
+    names = [x.split()[0] for x in scheme.split(", ")]
 
     def work(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
+        blobs, own = [], None
+        for b in batches:
+            blobs += b.column("data").to_pylist()
+            own = b.column("bucket")[0].as_py() if b.num_rows else own
+        if not blobs:
             return
-        cols = {c: np.concatenate([b.column(c).to_numpy() for b in parts]) for c in [*TYPES, "bucket"]}
-        parts.clear()
-        order, depths = multikey_sort([cols["k"].view(np.uint64), cols["u1"].view(np.uint64), cols["u2"].view(np.uint64)])
-        shared, full = run_lengths(depths[0]) > 1, run_lengths(depths[2]) > 1
+        cols = unpack(blobs)
+        blobs.clear()
+        order, depths = multikey_sort([cols["k"], cols["u"]])
+        shared, full = run_lengths(depths[0]) > 1, run_lengths(depths[1]) > 1
         n = len(order)
         # one of each run of equal records stands for it among the others with its first token; runs at the ends may have others beyond
         run = np.cumsum(depths[0]) - 1
         mixed = np.bincount(run, weights=~full) > 0
         mixed[[0, -1]] = True
-        stands = np.where(depths[2] & full & mixed[run])[0]
+        stands = np.where(depths[1] & full & mixed[run])[0]
         hit = np.concatenate([np.where(shared)[0], stands])
         full_hit = np.concatenate([full[shared], np.zeros(len(stands), dtype=bool)])
-        at = order[hit]
-        nothing = lambda m, t: pa.nulls(m, t)
-        for a in range(0, len(at), 100_000):
-            x = at[a : a + 100_000]
-            m = len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cols["row"][x]), pa.array(cols["first"][x]), pa.array(cols["last"][x]), pa.array(full_hit[a : a + 100_000]), nothing(m, pa.int32()), nothing(m, pa.int32()), nothing(m, pa.int64()), nothing(m, pa.int64()), nothing(m, pa.int64())], names=[x.split()[0] for x in scheme.split(", ")])
+
+        def batch(x, whole, *more):
+            first = cols["first"][x].astype(np.int64)
+            given = [pa.array(cols["row"][x]), pa.array(first), pa.array(first + cols["more"][x]), pa.array(whole)]
+            more = more or [pa.nulls(len(x), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*given, *more], names=names)
+
+        for a in range(0, len(hit), 50_000):
+            yield batch(order[hit[a : a + 50_000]], full_hit[a : a + 50_000])
         # the bucket's first and last suffix, for the comparison across boundaries
         x = order[[0, n - 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(cols["row"][x]), pa.array(cols["first"][x]), pa.array(cols["last"][x]), pa.array(full[[0, n - 1]]), pa.array(cols["bucket"][x]), pa.array([0, 1], pa.int32()), *[pa.array(cols[c][x]) for c in ("k", "u1", "u2")]], names=[x.split()[0] for x in scheme.split(", ")])
+        yield batch(x, full[[0, n - 1]], pa.array([own, own], pa.int32()), pa.array([0, 1], pa.int32()), pa.array(cols["k"][x].view(np.int64)), pa.array(cols["u"][x].view(np.int64)))
 
+    dealt = rows.mapInArrow(deal, "bucket int, data binary").repartitionById(buckets, F.col("bucket"))
     found = scratch.write(dealt.mapInArrow(work, scheme))
     edges = sorted(found.where("side is not null").collect(), key=lambda r: (r["bucket"], r["side"]))  # two rows a bucket
     more = []
     for left, right in zip(edges, edges[1:]):
         if left["bucket"] != right["bucket"] and left["k"] == right["k"]:
-            same = (left["u1"], left["u2"]) == (right["u1"], right["u2"])
-            more += [(x["row"], x["first"], x["last"], same) for x in (left, right)]
+            more += [(x["row"], x["first"], x["last"], left["u"] == right["u"]) for x in (left, right)]
+            more += [(x["row"], x["first"], x["last"], False) for x in (left, right)]
     hits = found.where("side is null").select("row", "first", "last", "full")
     return hits.union(spark.createDataFrame(more, hits.schema)) if more else hits
 
@@ -237,46 +285,37 @@ def keyed(df: DataFrame, text_col: str, id_col: str, *keep: str) -> DataFrame:
     return texts(df.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col))), text_col, "_row", *keep)
 
 
-def sample_keys(records: DataFrame) -> list[tuple[int, int]]:
-    """Sampled keys on the driver, SAMPLE_KEYS a bucket on the average."""
-    return [(r["k"], r["u1"]) for r in records.select("k", "u1").collect()]
-
-
 def repeated_spans(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(row, spans): for rows (by key) with repeated strings, ranges [first, last] of such strings' starts."""
     source = keyed(df, text_col, id_col)
 
     def first_round(batches):
         rows = ((r, t) for part in slices(batches) for r, t in zip(part.column("_row").to_pylist(), text_column(part)))
-        for group in chunks(rows):
-            yield from record_batches(unit_records(group))
+        yield from map(unit_records, chunks(rows))
 
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("n")).first()["n"]
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = lambda n: min(1.0, SAMPLE_KEYS * max(buckets, n / BUCKET_ROWS) / n)
     expected = max(1, size * 2 // REACH)
-    fraction = min(1.0, SAMPLE_KEYS * max(buckets, expected / BUCKET_ROWS) / expected)
-    sampled = sample_keys(source.sample(fraction, seed=11).mapInArrow(first_round, RECORD))
-    hits = sorted_buckets(source.mapInArrow(first_round, RECORD), sampled, expected, scratch)
+    hits = sorted_buckets(source, first_round, sample_keys(source.sample(share(expected), seed=11), first_round), expected, scratch)
     collect_garbage(df.sparkSession)  # the first round's shuffle files
-    per_row = scratch.write(hits.groupBy("row").agg(F.collect_set(F.when(F.col("full"), F.struct("first", "last"))).alias("sure"), F.collect_set(F.when(~F.col("full"), F.struct("first", "last"))).alias("open")))
+    sure, other = F.when(F.col("full"), F.struct("first", "last")), F.when(~F.col("full"), F.struct("first", "last"))
+    per_row = scratch.write(hits.groupBy("row").agg(F.collect_set(sure).alias("sure"), F.collect_set(other).alias("open")))
+    both = per_row.select("row", F.explode("sure").alias("s")).select("row", "s.first", "s.last")
 
     # second round: the strings of units that share only the first token
     open_rows = per_row.where(F.size("open") > 0).select(F.col("row").alias("_row"), "open")
-    n = open_rows.select(F.explode("open").alias("o")).agg(F.coalesce(F.sum(F.col("o.last") - F.col("o.first") + 1), F.lit(0)).alias("n")).first()["n"]
-    both = per_row.select("row", F.explode("sure").alias("s")).select("row", "s.first", "s.last")
+    n = open_rows.agg(F.sum(F.expr("aggregate(open, 0L, (n, o) -> n + o.last - o.first + 1)")).alias("n")).first()["n"]
     if n:
         strings = scratch.write(source.join(open_rows.hint("shuffle_hash"), "_row"))
-        collect_garbage(df.sparkSession)
+        collect_garbage(df.sparkSession)  # the texts' shuffle files
 
         def second_round(batches):
             for part in slices(batches, rows=200):
                 for r, t, spans in zip(part.column("_row").to_pylist(), text_column(part), part.column("open").to_pylist()):
-                    for cols in string_records(r, t, sorted((s["first"], s["last"]) for s in spans)):
-                        yield from record_batches(cols)
+                    yield from string_records(r, t, sorted((s["first"], s["last"]) for s in spans))
 
-        fraction = min(1.0, SAMPLE_KEYS * max(buckets, n / BUCKET_ROWS) / n)
-        sampled = sample_keys(strings.sample(fraction, seed=12).mapInArrow(second_round, RECORD))
-        singles = sorted_buckets(strings.mapInArrow(second_round, RECORD), sampled, n, scratch)
+        singles = sorted_buckets(strings, second_round, sample_keys(strings.sample(share(n), seed=12), second_round), n, scratch)
         scratch.drop(strings)
         collect_garbage(df.sparkSession)
         both = both.union(singles.where("full").select("row", "first", "last"))
