@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import boxes, caching, discovery, models, pages, stats, streams, texts
+
+MODULES = (boxes, texts, pages, stats, discovery, caching, models, streams)
+
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
