@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import boxes, caching, discovery, models, pages, stats, streams, texts
+from .plans import boxes, caching, discovery, models, pages, requests, stats, streams, texts
 
-MODULES = (boxes, texts, pages, stats, discovery, caching, models, streams)
+MODULES = (boxes, texts, pages, stats, discovery, caching, requests, models, streams)
 
 
 def queries():

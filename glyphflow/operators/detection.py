@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as G
+from ..functions.layout import let
 
 CONFIDENCE, CTD_CONFIDENCE, NMS_IOU, MIN_LINE_AREA, MIN_BLOCK_AREA, MERGE_REACH, INPUT_SIZE = 0.272, 0.4, 0.5, 100, 500, 30, 640
 
@@ -111,29 +112,34 @@ def merge_groups(boxes: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select("page_id", "group_id", *G.EDGES, "confidence", F.array_join(F.col("m.t"), "").alias("text"), F.size("m").alias("members"), (F.row_number().over(order) - 1).cast("int").alias("group_pos"))
 
 
-def merge_lines(page_id, lines):
-    import pandas as pd
+def derive_blocks(lines: DataFrame) -> DataFrame:
+    """Blocks from text lines: lines closer than MERGE_REACH become their common bounds, until none are; confidence 0.9.
+
+    Bounds only grow, so the end does not depend on the order, and a page's lines are added one at a time: each takes in
+    what it reaches, again and again, at most as often as there are blocks.
+    """
+    pages = lines.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*G.EDGES))).alias("bs"))
 
-    boxes = lines[["min_x", "min_y", "max_x", "max_y"]].values.tolist()
-    done = False
-    while not done:  # union bounds only grow, so the end does not depend on the order
-        done, merged = True, []
-        for b in boxes:
-            hit = [m for m in merged if m[0] - MERGE_REACH <= b[2] and m[2] + MERGE_REACH >= b[0] and m[1] - MERGE_REACH <= b[3] and m[3] + MERGE_REACH >= b[1]]
-            if hit:
-                done = False
-                merged = [m for m in merged if m not in hit]
-                b = [min(x[0] for x in [b, *hit]), min(x[1] for x in [b, *hit]), max(x[2] for x in [b, *hit]), max(x[3] for x in [b, *hit])]
-            merged.append(b)
-        boxes = merged
-    rows = [(page_id[0], *b) for b in sorted(boxes, key=lambda b: (-b[0], b[1], b[2], b[3])) if (b[2] - b[0]) * (b[3] - b[1]) >= MIN_BLOCK_AREA]
-    return pd.DataFrame(rows, columns=["page_id", "min_x", "min_y", "max_x", "max_y"])
+    def reaches(a, b):
+        r = MERGE_REACH
+        return (a["min_x"] - r <= b["max_x"]) & (a["max_x"] + r >= b["min_x"]) & (a["min_y"] - r <= b["max_y"]) & (a["max_y"] + r >= b["min_y"])
 
+    def bounds(now, hits):
+        low = lambda e: F.least(now[e], F.coalesce(F.array_min(F.transform(hits, lambda h: h[e])), now[e])).alias(e)
+        top = lambda e: F.greatest(now[e], F.coalesce(F.array_max(F.transform(hits, lambda h: h[e])), now[e])).alias(e)
+        return F.struct(low("min_x"), low("min_y"), top("max_x"), top("max_y"))
 
-def derive_blocks(lines: DataFrame) -> DataFrame:
-    """Blocks from text lines: lines closer than MERGE_REACH become their common bounds, until none are; confidence 0.9."""
-    found = lines.groupBy("page_id").applyInPandas(merge_lines, "page_id long, min_x int, min_y int, max_x int, max_y int")
-    return found.withColumn("confidence", F.lit(0.9))
+    def absorb(s, _):
+        hits = F.filter(s["rest"], lambda b: reaches(s["now"], b))
+        return F.struct(bounds(s["now"], hits).alias("now"), F.filter(s["rest"], lambda b: ~reaches(s["now"], b)).alias("rest"))
+
+    def add(acc, x):
+        done = F.aggregate(F.sequence(F.lit(0), F.size(acc)), F.struct(x.alias("now"), acc.alias("rest")), absorb)
+        return let(done, lambda d: F.concat(d["rest"], F.array(d["now"])))
+
+    found = pages.select("page_id", F.explode(F.aggregate("bs", F.expr("filter(bs, x -> false)"), add)).alias("b"))
+    area = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
+    return spread(found).where(area >= MIN_BLOCK_AREA).withColumn("confidence", F.lit(0.9))
 
 
 def lines_to_blocks(blocks: DataFrame, lines: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def batches_of_5(spark, sf):
 
 
 _H = with_views("hosts")
-_PATTERNS = ["*.example.com", "*.example.org", "therha.example.net"]
+_PATTERNS = ["*.example.com", "*.example.org", "ththre.example.com"]
 
 
 def _allow_sql(fixed):
@@ -70,9 +70,9 @@ def host_allowlist_fixed(spark, sf):
     return D.allowed(view(spark, sf, "hosts"), _PATTERNS, fixed=True).select("page_id", "host")
 
 
-@query(f"{_H} SELECT page_id, host FROM hosts WHERE host IN ('therha.example.net', 'www.therth.example.org')")
+@query(f"{_H} SELECT page_id, host FROM hosts WHERE host IN ('ththre.example.com', 'm.ththth.example.net')")
 def exact_host(spark, sf):
-    active = F.array(F.lit("therha.example.net"), F.lit("www.therth.example.org"))
+    active = F.array(F.lit("ththre.example.com"), F.lit("m.ththth.example.net"))
     return view(spark, sf, "hosts").where(F.array_contains(active, F.col("host"))).select("page_id", "host")
 
 
