@@ -22,7 +22,8 @@ from .common import file_bytes, map_texts, regex_splitter
 
 NEVER = 1 << 30
 #: Entries after which a worker's memo of encoded pieces is emptied; bounds its memory, never changes a result.
-MEMO = 400_000
+MEMO = 300_000
+HEAD = 4
 
 
 def byte_letters() -> dict[str, int]:
@@ -63,9 +64,11 @@ class MergeAutomaton:
             whole[i] = a < 0 or whole[a] and whole[b] and self.arc_at(a, b, self.born[i])
             if whole[i]:
                 self.whole[s] = i
+        #: By the first HEAD bytes, the length of the longest token; words that begin otherwise have shorter tokens only.
         self.longest: dict[bytes, int] = {}
         for s in self.whole:
-            self.longest[s[:2]] = max(self.longest.get(s[:2], 1), len(s))
+            if len(s) >= HEAD:
+                self.longest[s[:HEAD]] = max(self.longest.get(s[:HEAD], 0), len(s))
 
     def arc_at(self, u: int, v: int, time: int) -> bool:
         """Has the state that u leads to an arc v, when merges before `time` are applied?"""
@@ -99,7 +102,7 @@ class MergeAutomaton:
         path, at, tried, dead = [-1], [0], [NEVER], set()
         while at[-1] < n:
             i, u = at[-1], path[-1]
-            size = min(tried[-1], n - i, longest.get(word[i : i + 2], 1))
+            size = min(tried[-1], n - i, longest.get(word[i : i + HEAD], HEAD - 1))
             found = -1
             while size:
                 v = whole.get(word[i : i + size])
@@ -126,6 +129,7 @@ class Encoder:
         self.coarse, self.fine = regex_splitter(raw)
         self.memo: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
+        self.words: dict[str, bytes] = {}
 
     def segments(self, text: str):
         """(part, its special id or None) in order; the leftmost special string goes first, the longest of those that start there."""
@@ -137,9 +141,17 @@ class Encoder:
         cut = re.split("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")", text)
         return [(x, special.get(x) if k % 2 else None) for k, x in enumerate(cut) if x]
 
-    def piece(self, s: str) -> bytes:
-        ids = [i for word in self.fine(s) for i in self.auto.encode(word.encode())]
+    def word(self, s: str) -> bytes:
+        ids = self.auto.encode(s.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(s) <= 64:
+            if len(self.words) >= MEMO:
+                self.words.clear()
+            self.words[s] = packed
+        return packed
+
+    def piece(self, s: str) -> bytes:
+        packed = b"".join([self.words.get(word) or self.word(word) for word in self.fine(s)])
         if len(s) <= 64:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
@@ -163,11 +175,10 @@ class Encoder:
 
     def count_piece(self, s: str) -> int:
         """Whole tokens count one; only the other pre-tokens go through the automaton's merges."""
-        whole, encode = self.auto.whole, self.auto.encode
+        whole, known = self.auto.whole, self.words.get
         n = 0
         for word in self.fine(s):
-            w = word.encode()
-            n += 1 if w in whole else len(encode(w))
+            n += 1 if word.encode() in whole else len(known(word) or self.word(word)) // 4
         if len(s) <= 64:
             if len(self.counts) >= MEMO:
                 self.counts.clear()

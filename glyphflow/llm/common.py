@@ -107,19 +107,27 @@ def slices(batches, rows: int = BATCH_ROWS, size: int = 8 << 20):
             at = end
 
 
-def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, each, drop_text: bool = True) -> DataFrame:
+def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ..., and their names by the old ones, so that no column clashes with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), {c: f"c{i}" for i, c in enumerate(df.columns)}
+
+
+def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, each) -> DataFrame:
     """A map-only pass: each(texts, batch) gives one list of values per row, appended to the kept columns.
 
-    schema names and types what is appended. Nothing is shuffled, and a lost task repeats only its own split.
+    schema names and types what is appended; a kept column of the same name gives way to it. Nothing is shuffled, and a lost task repeats only its own split.
     """
-    bound_batches(df.sparkSession)
-    source = texts(df, text_col, *keep)
-    added = source.sparkSession.createDataFrame([], schema).schema
-    out = type(added)([f for f in source.schema.fields if f.name != "_text"] + added.fields)
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
 
-    arrow = to_arrow_schema(out)
+    bound_batches(df.sparkSession)
+    added = StructType.fromDDL(schema)
+    names = {f.name.lower() for f in added.fields}
+    keep = [c for c in keep if c.lower() not in names]
     n_keep = len(keep)
+    source = texts(df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text")), "text", *[f"k{i}" for i in range(n_keep)])
+    out = StructType([StructField(c, f.dataType) for c, f in zip(keep, source.schema.fields)] + added.fields)
+    arrow = to_arrow_schema(out)
 
     def run(batches):
         for part in slices(batches):

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, alnum_words, map_texts
+from .common import Scratch, alnum_words, map_texts, neutral
 
 WINDOW = 13
 #: Words of a shard, of a piece of a document, and of a block of items at most; every SAMPLE-th position is kept.
@@ -260,8 +260,9 @@ def find_spans(df: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col:
     if len(blocks) < 2:
         return _one_block(df, blocks[0] if blocks else [], text_col, keep)
     # more blocks: the rows get numbers in a written table, and each block's spans meet again by them
-    numbered = scratch.write(df.withColumn("_row", F.monotonically_increasing_id()))
-    parts = [_one_block(numbered, b, text_col, ["_row"]) for b in item_blocks(benchmark, item_text_col, item_col)]
+    plain, name = neutral(df)
+    numbered = scratch.write(plain.withColumn("_row", F.monotonically_increasing_id()))
+    parts = [_one_block(numbered, b, name[text_col], ["_row"]) for b in item_blocks(benchmark, item_text_col, item_col)]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
@@ -269,7 +270,8 @@ def find_spans(df: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col:
     merged = F.expr("""aggregate(spans, cast(array() as array<struct<first: bigint, after: bigint>>), (acc, x) -> case
         when size(acc) > 0 and x.first <= element_at(acc, -1).after then concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'after', greatest(element_at(acc, -1).after, x.after))))
         else concat(acc, array(x)) end)""")
-    return numbered.select("_row", *[f"`{c}`" for c in keep]).join(met.withColumn("spans", merged), "_row").drop("_row")
+    keep = [c for c in keep if c.lower() not in ("n_words", "spans", "items")]
+    return numbered.select("_row", *[name[c] for c in keep]).join(met.withColumn("spans", merged), "_row").drop("_row").toDF(*keep, "n_words", "spans", "items")
 
 
 def _first_two(blocks):
@@ -294,9 +296,10 @@ def report(found: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, that are not contaminated. df must have no columns n_words, spans or items."""
-    found = find_spans(df, benchmark, scratch, text_col)
-    return found.where(~contaminated(F.col("n_words"), F.expr(N_HIT))).drop("n_words", "spans", "items")
+    """The rows of df, all columns, that are not contaminated."""
+    plain, name = neutral(df)
+    found = find_spans(plain, benchmark, scratch, name[text_col])
+    return found.where(~contaminated(F.col("n_words"), F.expr(N_HIT))).drop("n_words", "spans", "items").toDF(*df.columns)
 
 
 def brute(text: bytes, items: list[tuple[object, bytes]]) -> tuple[int, int, str, bool]:

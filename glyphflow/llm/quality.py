@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts
+from .common import Scratch, map_texts, neutral
 
 #: Good labelled rows that the forest is fitted on at most (those with the smallest hashes of their ids), trees, rows and depth of a tree.
 FIT_ROWS, TREES, TREE_ROWS, DEPTH = 4096, 128, 256, 12
@@ -209,4 +209,5 @@ def keep_good(df: DataFrame, labels: DataFrame, scratch: Scratch, text_col: str
         x = np.array([statistics(t) for t in found], dtype=np.int64).reshape(-1, len(STATS))
         return [(bool(k),) for k in ~base_failed(x) & (model.value.paths(x) >= model.value.threshold)]
 
-    return map_texts(df, text_col, list(df.columns), "_kept boolean", each).where("_kept").drop("_kept")
+    plain, name = neutral(df)
+    return map_texts(plain, name[text_col], plain.columns, "kept boolean", each).where("kept").drop("kept").toDF(*df.columns)

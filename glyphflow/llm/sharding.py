@@ -22,7 +22,7 @@ from pyspark.sql.window import Window as W
 
 from .common import Scratch
 
-SHARDS, ROUNDS, SLACK, SALTS, SUB_BANDS = 24, 12, 1.05, 512, 16
+SHARDS, ROUNDS, SLACK, SALTS, SUB_BANDS = 24, 30, 1.05, 512, 16
 
 
 def documents_table(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -119,12 +119,12 @@ def assign(df: DataFrame, scratch: Scratch, shards: int = SHARDS, text_col: str
     limits = F.array(*[F.lit(k).cast("long") for k in kept])
     placed = ranked.withColumn("p", place).withColumn("slot", F.expr("p.pos + rank + coalesce(ahead, 0L) - p.start"))
     fits = F.col("p").isNotNull() & (F.col("slot") < limits[F.col("p.shard")])
-    placed = scratch.write(placed.select("id", "size", "crc", F.when(fits, F.col("p.shard")).alias("shard"), F.when(fits, F.col("slot")).alias("slot"), F.pmod(F.xxhash64("id", "crc", "rank", "gid"), F.lit(buckets)).cast("int").alias("bucket")))
+    placed = scratch.write(placed.select("id", "size", "crc", F.when(fits, F.col("p.shard")).alias("shard"), F.when(fits, F.col("slot")).alias("slot"), F.xxhash64("gid").alias("g"), F.pmod(F.xxhash64("gid", "salt", F.floor(F.col("rank") / 64)), F.lit(buckets)).cast("int").alias("bucket")))
 
-    # all others fill the gaps in order
+    # all others fill the gaps in order, small groups side by side
     loose = placed.where("shard is null")
     ahead = running(loose.groupBy("bucket").agg(F.count("*").alias("c")), "bucket", ["c"])
-    turn = F.row_number().over(W.partitionBy("bucket").orderBy("id", "crc")) - 1
+    turn = F.row_number().over(W.partitionBy("bucket").orderBy("g", "id", "crc")) - 1
     loose = loose.withColumn("turn", turn).join(F.broadcast(ahead), "bucket").withColumn("turn", F.col("turn") + F.col("c_before"))
     ends = [sum(gaps[: s + 1]) for s in range(shards)]
     into = reduce(lambda rest, s: F.when(F.col("turn") < ends[s], F.lit(s)).otherwise(rest), range(shards - 1, -1, -1), F.lit(None).cast("int"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_words, map_texts
+from .common import Scratch, lower_words, map_texts, neutral
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints in one tree at most; distinct fingerprints from which sixteen tables are used.
@@ -215,8 +215,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def near_duplicates(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, fp, component_id (the smallest id reachable) and leader_fp (that row's smallest fingerprint) for each row."""
-    prints = scratch.write(fingerprints(df.select(id_col, text_col), text_col, [id_col]))
-    firsts = scratch.write(prints.groupBy("fp").agg(F.min(id_col).alias("first")))
+    prints = scratch.write(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"]))
+    firsts = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("first")))
     edges = links(firsts.select("fp"), scratch)
     roots = components(edges, scratch)
     scratch.drop(edges)
@@ -224,13 +224,15 @@ def near_duplicates(df: DataFrame, scratch: Scratch, text_col: str = "text", id_
     # the smallest (id, fingerprint) of each class; null ids last
     best = member.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "fp")).alias("best"))
     classes = scratch.write(member.join(best, "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.fp").alias("leader_fp")))
-    return prints.join(classes, "fp").select(id_col, "fp", "component_id", "leader_fp")
+    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "leader_fp")
 
 
 def keep_leaders(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row of each class, all columns: that with the smallest id (of equal ids one). Rows without an id stay."""
-    found = near_duplicates(df, scratch, text_col, id_col)
-    leaders = scratch.write(found.where(F.col(id_col) == F.col("component_id")).where("fp = leader_fp").select(F.col(id_col).alias("_id"), F.col("fp").alias("_lead")).distinct())
-    printed = fingerprints(df, text_col, list(df.columns), "_fp")
-    kept = printed.join(leaders, (printed[id_col] == leaders["_id"]) & (printed["_fp"] == leaders["_lead"]), "left_semi").drop("_fp").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    plain, name = neutral(df)
+    key = name[id_col]
+    found = near_duplicates(plain, scratch, name[text_col], key)
+    leaders = scratch.write(found.where(F.col(key) == F.col("component_id")).where("fp = leader_fp").select(F.col(key).alias("lead_id"), F.col("fp").alias("lead_fp")).distinct())
+    printed = fingerprints(plain, name[text_col], plain.columns)
+    kept = printed.join(leaders, (printed[key] == leaders["lead_id"]) & (printed["fp"] == leaders["lead_fp"]), "left_semi").drop("fp").dropDuplicates([key])
+    return kept.unionByName(plain.where(F.col(key).isNull())).toDF(*df.columns)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, collect_garbage, slices, text_column, texts
+from .common import Scratch, collect_garbage, neutral, slices, text_column, texts
 
 SPAN, REACH = 200, 128
 #: Any string of SPAN bytes holds so many bytes from its anchor on.
@@ -282,7 +282,7 @@ def cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def keyed(df: DataFrame, text_col: str, id_col: str, *keep: str) -> DataFrame:
     """texts() with the row's key."""
-    return texts(df.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col))), text_col, "_row", *keep)
+    return texts(df.withColumn("_row", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))), text_col, "_row", *keep)
 
 
 def repeated_spans(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -330,10 +330,11 @@ def with_spans(df: DataFrame, scratch: Scratch, text_col: str, id_col: str, *kee
 
 def mapped(source: DataFrame, keep: list[str], schema: str, each) -> DataFrame:
     """each(text, runs to remove) gives the values that the schema names."""
-    added = source.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    out = type(added)([source.schema[c] for c in keep] + added.fields)
+    added = StructType.fromDDL(schema)
+    out = StructType([source.schema[c] for c in keep] + added.fields)
     arrow = to_arrow_schema(out)
 
     def run(batches):
@@ -381,12 +382,14 @@ def removal_digests(df: DataFrame, scratch: Scratch, text_col: str = "text", id_
 
 def drop_repeats(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = None) -> DataFrame:
     """All rows and columns of df; the text loses its repeated strings (whole code points only), and length_col counts what stays."""
-    keep = [c for c in df.columns if c != text_col]
-    source = with_spans(df, scratch, text_col, id_col, *keep)
-    done = mapped(source, keep, "_kept string", lambda t, runs: (without(t, whole_letters(t, runs)).decode(),)).withColumnRenamed("_kept", text_col)
+    plain, name = neutral(df)
+    text = name[text_col]
+    keep = [c for c in plain.columns if c != text]
+    source = with_spans(plain, scratch, text, name[id_col], *keep)
+    done = mapped(source, keep, f"{text} string", lambda t, runs: (without(t, whole_letters(t, runs)).decode(),))
     if length_col:
-        done = done.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType))
-    return done.select(*[f"`{c}`" for c in df.columns])
+        done = done.withColumn(name[length_col], F.length(text).cast(df.schema[length_col].dataType))
+    return done.select(*plain.columns).toDF(*df.columns)
 
 
 def brute(texts_: list[bytes]) -> list[list[tuple[int, int]]]:
