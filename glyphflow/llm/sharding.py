@@ -22,7 +22,7 @@ from pyspark.sql.window import Window as W
 
 from .common import Scratch
 
-SHARDS, ROUNDS, SLACK, SALTS, SUB_BANDS = 24, 30, 1.05, 512, 16
+SHARDS, ROUNDS, SLACK, SALTS, SUB_BANDS = 24, 30, 2.0, 512, 16
 
 
 def documents_table(df: DataFrame, text_col: str, id_col: str) -> DataFrame:

@@ -115,7 +115,7 @@ def string_records(row: int, text: bytes, spans: list[tuple[int, int]], size: in
 LAYOUT = (("k", "<u8"), ("u", "<u8"), ("row", "<i8"), ("first", "<u4"), ("more", "u1"))
 WIDTH = sum(np.dtype(t).itemsize for _, t in LAYOUT)
 #: Records that a task gathers before it sends them to their buckets.
-FLUSH = 200_000
+FLUSH = 100_000
 
 
 def pack(cols, at: np.ndarray) -> bytes:
@@ -338,7 +338,7 @@ def mapped(source: DataFrame, keep: list[str], schema: str, each) -> DataFrame:
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, rows=100):
             rows = [each(t, cover([(s["first"], s["last"]) for s in spans or ()])) for t, spans in zip(text_column(part), part.column("spans").to_pylist())]
             cols = [part.column(c).cast(arrow.field(i).type) for i, c in enumerate(keep)]
             values = list(zip(*rows)) if rows else [()] * len(added)
