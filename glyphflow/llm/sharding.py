@@ -2,7 +2,8 @@
 
 Documents of equal text are linked. Each starts in the shard that a hash of its id names. In each round, every group of
 linked documents asks to move its members towards the shard that holds most of them among those with room; requests to a
-shard are granted by groups' sizes, largest first, up to its quota, the last ones in proportion. Only members of a
+shard are granted by groups' sizes, largest first, up to its quota, the last ones in proportion (SLACK times its even
+share, so that there is room to move when most rows are linked). Only members of a
 group's smaller parts move, so the sum of squares of its parts grows, the number of cut edges shrinks, and rounds end.
 Then every shard holds at most its exact share: what is above leaves, and unlinked documents fill all gaps.
 
