@@ -4,7 +4,8 @@ Each template is a word sequence with mandatory key phrases. A file's licence wo
 frequency are looked up in the index; postings (template, position) that agree on the relative position place the
 template in the file, and a place counts only when the key phrase's words stand there. A phrase template is anchored at
 its own rarest word, all of whose occurrences are looked up, so all its places are found. Document frequencies cover
-the whole table. A null text is empty: no words, no labels, score 0. Places may overlap; repeated rows repeat results.
+the whole table. The score is 1 where a phrase stands, else the best template's share of words at their places, over all
+places. A null text is empty: no words, no labels, score 0. Places may overlap; repeated rows repeat results.
 """
 
 from __future__ import annotations
@@ -87,14 +88,13 @@ class LicenseIndex:
             if self.needs[k] not in voters:
                 voters.append(self.needs[k])
             votes = Counter(i - p for w in voters for t, p in self.postings[w] if t == k for i in spots[w])
-            for start, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+            for start in votes:
                 if start + at < 0 or words[start + at : start + at + len(key)] != key:
                     continue
                 hit = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template)) / len(template)
                 score = max(score, hit)
                 if hit >= COVERAGE:
                     labels.add(label)
-                    break
         return len(words), sorted(places), labels, score
 
 
