@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, decontaminate, licenses, quality, sharding, simhash, suffixes, url_rules
+from . import bpe, class_lm, decontaminate, licenses, quality, sharding, simhash, suffixes, twins, url_rules
 from .common import Scratch
 
 
@@ -70,4 +70,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(twins.SQL)
