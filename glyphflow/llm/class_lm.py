@@ -1,14 +1,17 @@
 """LM scoring with Brown class-based bigrams.
 
-Exchange clustering moves the most frequent words one at a time to the class that most raises the likelihood of the class
-bigrams, over bigram counts of all training documents; all other words share one open class, and a document's start and end
-have classes of their own. A word's log probability is that of its class after the previous word's class, smoothed by the
-class's own share, plus that of the word within its class, (c + 0.1) over the class's count with 0.1 added for each of
-its words (the open class has one more, for unseen words). So the probabilities after each class sum to one.
+Exchange clustering moves the most frequent words (the core) one at a time to the class that most raises the likelihood of the
+class bigrams, over bigram counts of all training documents. Each other training word is then added by one incremental step: to
+the class that most raises that likelihood, given the classes of the core words (or the document's start and end) that stand
+next to its occurrences, other words skipped. Core and classes grow with the distinct training words; those that are not in
+the head stay in tables. Start and end have classes of their own, and only words that no training document has are in the
+open class. A word's log probability is that of its class after the previous word's class, smoothed by the class's own
+share, plus that of the word within its class, (c + 0.1) over the class's count with 0.1 added for each of its words. An unseen
+word has its unigram probability after each class. So the probabilities after each class sum to one.
 
 All counts cover all training documents (crc32 of the id as text, mod 10, is not 0) and are combined before they are
-shuffled. The HEAD most frequent words go to the workers with their counts (a fixed number, each of at most WORD_BYTES
-bytes); all others are joined on the word. A null text is empty: its end is its only token. A null id counts as the text ''.
+shuffled. The head, the HEAD most frequent words of at most WORD_BYTES bytes, goes to the workers with counts and classes; all
+others are joined on the word. A null text is empty: its end is its only token. A null id counts as the text ''.
 Repeated rows are scored each; with no training rows all counts are zero.
 """
 
@@ -22,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Scratch, lower_words, map_texts, slices, text_column, texts
 
 HEAD, CLUSTERED, CLASSES, SWEEPS, WORD_BYTES = 32768, 2048, 64, 4, 64
+#: CLUSTERED and CLASSES are the least: the core grows with the square root of the distinct words, the classes with the cube root.
 #: Weight of a class's own share in the transitions from each class; the discount and entries of a partial count.
 ALPHA, ADD, PARTIAL = 2.0, 0.1, 400_000
 
@@ -58,60 +63,66 @@ def word_counts(training: DataFrame, text_col: str) -> DataFrame:
     return texts(training, text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def bigram_counts(training: DataFrame, text_col: str, words: list[bytes]) -> np.ndarray:
-    """Counts of adjacent pairs among the clustered words (0 to k - 1), any other word (k), start (k + 1) and end (k + 2)."""
+def packed(batches, code_of):
+    """Record batches (code, n): what code_of gives for each batch, counted, sent whenever PARTIAL entries have come together."""
+    codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def out():
+        return pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    for part in batches:
+        new, c = np.unique(code_of(part), return_counts=True)
+        codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, c]), len(codes)).astype(np.int64)
+        if len(codes) >= PARTIAL:
+            yield out()
+            codes, n = codes[:0], n[:0]
+    yield out()
+
+
+def bigram_counts(training: DataFrame, text_col: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, next, n) of adjacent pairs among the core words (0 to k - 1), any other word (k), start (k + 1) and end (k + 2)."""
     k = len(words)
     size = k + 3
     shared = training.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
-    def run(batches):
-        total = np.zeros(size * size, dtype=np.int64)
-        get = shared.value.get
-        for part in slices(batches):
-            ids: list[int] = []
-            for t in text_column(part):
-                ids.append(k + 1)
-                ids += [get(w, k) for w in lower_words(t)]
-                ids.append(k + 2)
-            if ids:
-                a = np.array(ids, dtype=np.int64)
-                codes = a[:-1] * size + a[1:]
-                codes, n = np.unique(codes[a[:-1] != k + 2], return_counts=True)
-                total[codes] += n
-        codes = np.where(total)[0]
-        for at in range(0, max(len(codes), 1), 100_000):
-            c = codes[at : at + 100_000]
-            yield pa.RecordBatch.from_pydict({"code": pa.array(c, pa.int64()), "n": pa.array(total[c], pa.int64())})
-
-    out = np.zeros(size * size, dtype=np.int64)
-    found = texts(training, text_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    for batch in [found.toArrow()]:  # at most (CLUSTERED + 3) ** 2 rows
-        out[batch.column("code").to_numpy()] = batch.column("n").to_numpy()
-    return out.reshape(size, size)
-
-
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Classes 0 to classes - 1 of the clustered words; the last three symbols keep classes of their own after them."""
-    size = len(pairs)
-    k = size - 3
+    def code_of(part):
+        get, ids = shared.value.get, []
+        for t in text_column(part):
+            ids.append(k + 1)
+            ids += [get(w, k) for w in lower_words(t)]
+            ids.append(k + 2)
+        a = np.array(ids, dtype=np.int64)
+        return (a[:-1] * size + a[1:])[a[:-1] != k + 2]
+
+    found = texts(training, text_col).mapInArrow(lambda batches: packed(slices(batches), code_of), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    code = found.column("code").to_numpy()
+    return code // size, code % size, found.column("n").to_numpy().astype(float)
+
+
+def gains(x):
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def exchange(first: np.ndarray, then: np.ndarray, n: np.ndarray, k: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+    """Classes 0 to classes - 1 of the k core words; the last three symbols keep classes of their own after them."""
+    size, m, f = k + 3, classes + 3, gains
     own = np.array([i % classes for i in range(k)] + [classes, classes + 1, classes + 2])
     if k == 0:
         return own
-    m = classes + 3
-    right, left = np.zeros((size, m)), np.zeros((size, m))  # of each symbol: counts with the next and the previous class
-    for c in range(m):
-        right[:, c] = pairs[:, own == c].sum(1)
-        left[:, c] = pairs[own == c, :].sum(0)
-    grid = np.zeros((m, m))
-    for c in range(m):
-        grid[c] = right[own == c].sum(0)
-    out, into = pairs.sum(1).astype(float), pairs.sum(0).astype(float)
-    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-    dense = pairs.astype(float)
+    right, left, grid = np.zeros((size, m)), np.zeros((size, m)), np.zeros((m, m))  # of each symbol: counts with the next and the previous class
+    np.add.at(right, (first, own[then]), n)
+    np.add.at(left, (then, own[first]), n)
+    np.add.at(grid, (own[first], own[then]), n)
+    out, into = np.bincount(first, n, size), np.bincount(then, n, size)
+    same = np.bincount(first[first == then], n[first == then], size)
+    back = np.argsort(then, kind="stable")  # pairs come sorted by their first
+    rows, cols = np.searchsorted(first, np.arange(size + 1)), np.searchsorted(then[back], np.arange(size + 1))
+    d = np.arange(classes)
     for _ in range(sweeps):
         moved = 0
         for w in range(k):
-            a, self_n = own[w], dense[w, w]
+            a, self_n = own[w], same[w]
             r, l = right[w].copy(), left[w].copy()
             r[a] -= self_n
             l[a] -= self_n
@@ -123,7 +134,6 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             g = grid[:classes]
             # gain of each class: its line, its column, their crossing once
             gain = (f(g + r) - f(g)).sum(1) + (f(grid[:, :classes] + l[:, None]) - f(grid[:, :classes])).sum(0)
-            d = np.arange(classes)
             cross = grid[d, d]
             gain += f(cross + r[:classes] + l[:classes] + self_n) - f(cross + r[:classes]) - f(cross + l[:classes]) + f(cross)
             gain -= f(row[:classes] + out[w]) - f(row[:classes]) + f(col[:classes] + into[w]) - f(col[:classes])
@@ -136,64 +146,130 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             if b != a:
                 own[w] = b
                 moved += 1
-                right[:, a] -= dense[:, w]
-                right[:, b] += dense[:, w]
-                left[:, a] -= dense[w]
-                left[:, b] += dense[w]
+                before, after = back[cols[w] : cols[w + 1]], slice(rows[w], rows[w + 1])
+                right[first[before], a] -= n[before]
+                right[first[before], b] += n[before]
+                left[then[after], a] -= n[after]
+                left[then[after], b] += n[after]
         if not moved:
             break
     return own
 
 
-class ClassModel:
-    """Word numbers and counts of the head, and log10 factors: score = sum of log10(c + 0.1) + sum of factor[previous class, class]."""
-
-    def __init__(self, head: list[tuple[bytes, int]], clustered: list[bytes], pairs: np.ndarray, total: int, distinct: int, ends: int):
-        self.total, self.distinct, self.ends = total, distinct, ends
-        own = exchange(pairs)
-        self.counts = {w: c for w, c in head}
-        classes = CLASSES + 3
-        self.open, self.start, self.end = CLASSES, CLASSES + 1, CLASSES + 2
-        self.klass = {w: int(own[i]) for i, w in enumerate(clustered)}
-        grid = np.zeros((classes, classes))
-        np.add.at(grid, (own[:, None], own[None, :]), pairs)
-        # a class's count with ADD for each of its words; the open class has all others and one unseen
-        mass = np.zeros(classes)
-        for w, c in self.klass.items():
-            mass[c] += self.counts[w] + ADD
-        everything = total + ADD * (distinct + 1)
-        mass[self.end] = ends + ADD if ends else 0.0
-        mass[self.open] = everything - mass.sum()
-        share = mass / mass.sum()
-        transition = (grid + ALPHA * share) / (grid.sum(1, keepdims=True) + ALPHA)
-        with np.errstate(divide="ignore"):
-            self.factor = np.where(mass > 0, np.log10(np.maximum(transition, 1e-300)) - np.log10(np.maximum(mass, 1e-300)), -math.log10(everything))
-        self.log_mass = math.log10(everything)
-        if not ends:  # no training rows: one unigram for all
-            self.end = self.open
-            self.factor[:] = -self.log_mass
+def neighbour_counts(training: DataFrame, text_col: str, core: dict[bytes, int], m: int) -> DataFrame:
+    """(word, slot, n) of all words that are not in the core: slot is the class of the nearest core word (or end) after it, or m + that before it."""
+    shared = training.sparkSession.sparkContext.broadcast(core)
 
+    def run(batches):
+        get, seen, codes = shared.value.get, {}, []
 
-def train(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> tuple[ClassModel, DataFrame]:
-    """The model, and the written table of all counts (word, c)."""
-    training = df.where(~held_out_column(id_col))
-    counts = scratch.write(word_counts(training, text_col))
-    found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = training.count()
-    head = [(bytes(r["word"]), r["c"]) for r in counts.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    clustered = [w for w, _ in head[:CLUSTERED]]
-    pairs = bigram_counts(training, text_col, clustered)
-    return ClassModel(head, clustered, pairs, found["n"] + ends, found["v"] + bool(ends), ends), counts
+        def out():
+            code, n = np.unique(np.concatenate(codes or [np.zeros(0, np.int64)]), return_counts=True)
+            words = pa.array(list(seen), pa.binary())
+            for at in range(0, len(code), 50_000):
+                c = code[at : at + 50_000]
+                yield pa.RecordBatch.from_pydict({"word": words.take(pa.array(c // (2 * m))), "slot": pa.array(c % (2 * m), pa.int32()), "n": pa.array(n[at : at + 50_000], pa.int64())})
 
+        for part in slices(batches):
+            ids: list[int] = []
+            for t in text_column(part):
+                ids.append(m - 2)
+                ids += [c if (c := get(w)) is not None else -1 - seen.setdefault(w, len(seen)) for w in lower_words(t)]
+                ids.append(m - 1)
+            a = np.array(ids, dtype=np.int64)
+            at = np.arange(len(a))
+            rare = np.flatnonzero(a < 0)
+            if len(rare):
+                before = np.maximum.accumulate(np.where(a >= 0, at, 0))[rare]
+                after = np.minimum.accumulate(np.where(a >= 0, at, len(a) - 1)[::-1])[::-1][rare]
+                w = (-1 - a[rare]) * (2 * m)
+                codes += [w + a[after], w + m + a[before]]
+            if len(seen) >= PARTIAL or sum(map(len, codes)) >= 8 * PARTIAL:
+                yield from out()
+                seen.clear()
+                codes.clear()
+        yield from out()
 
-def score(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, and perplexity by the class model, for each row."""
-    model, counts = train(df, scratch, text_col, id_col)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # HEAD words of at most WORD_BYTES bytes, and a table of classes
+    sent = texts(training, text_col).mapInArrow(run, "word binary, slot int, n long")
+    return sent.repartition(F.col("word")).groupBy("word", "slot").agg(F.sum("n").alias("n"))
+
+
+def added_classes(slots: DataFrame, grid: np.ndarray, classes: int) -> DataFrame:
+    """(word, c, klass): the class that each word raises the likelihood most in, given its neighbours' classes."""
+    m = classes + 3
+    grid = grid.copy()
+    grid[classes], grid[:, classes] = 0, 0
+    shared = slots.sparkSession.sparkContext.broadcast(grid)
+    f = gains
+
+    def run(batches):
+        grid = shared.value
+        g = np.vstack([grid[:classes].T, grid[:, :classes]])  # of each slot: counts with each class
+        fg, row, col, d = f(g), grid.sum(1)[:classes], grid.sum(0)[:classes], np.arange(classes)
+        cross = grid[d, d]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("slots")
+            starts, flat = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), lists.flatten()
+            slot, n = flat.field("slot").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float)
+            of = np.repeat(np.arange(len(starts)), np.diff(lists.offsets.to_numpy()))
+            total = np.bincount(of[slot < m], n[slot < m], len(starts))[:, None]  # one slot after and one before each occurrence
+            klass = np.empty(len(starts), np.int64)
+            for a in range(0, len(starts), 256):
+                b = min(a + 256, len(starts))
+                p, q = starts[a], starts[b] if b < len(starts) else len(slot)
+                s, x, o = slot[p:q], n[p:q], of[p:q] - a
+                gain = np.add.reduceat(f(g[s] + x[:, None]) - fg[s], starts[a:b] - p, axis=0)
+                r, l = np.zeros((b - a, m)), np.zeros((b - a, m))
+                r[o[s < m], s[s < m]] = x[s < m]
+                l[o[s >= m], s[s >= m] - m] = x[s >= m]
+                r, l = r[:, :classes], l[:, :classes]
+                both = (r > 0) & (l > 0)
+                k = np.nonzero(both)
+                y = cross[k[1]]
+                gain[k] += f(y + r[k] + l[k]) - f(y + r[k]) - f(y + l[k]) + f(y)
+                gain -= f(row + total[a:b]) - f(row) + f(col + total[a:b]) - f(col)
+                gain[:, row + col == 0] = -np.inf  # a class without core words would take in words of all kinds at once
+                klass[a:b] = gain.argmax(1)
+            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": pa.array(total[:, 0].astype(np.int64)), "klass": pa.array(klass, pa.int32())})
+
+    lists = slots.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("slots"))  # at most 2 * m a word
+    return lists.mapInArrow(run, "word binary, c long, klass int")
+
+
+class ClassModel:
+    """Counts and classes of the head, and log10 factors: score = sum of log10(c + 0.1) + sum of factor[previous class, class]."""
+
+    def __init__(self, head: list, classes: int, total: int, distinct: int, ends: int):
+        self.total, self.distinct, self.ends, self.classes = total, distinct, ends, classes
+        self.counts = {bytes(w): c for w, c, _ in head}
+        self.klass = {bytes(w): k for w, _, k in head}
+        self.open, self.start, self.end = classes, classes + 1, classes + 2
+        self.log_mass = math.log10(total + ADD * (distinct + 1))
+
+    def settle(self, grid: np.ndarray, mass: np.ndarray) -> None:
+        """The factors by the class bigrams, and each class's count with ADD for each of its words."""
+        if not self.ends:  # no training rows: one unigram for all
+            self.end = self.open
+            self.factor = np.full(grid.shape, -self.log_mass)
+            return
+        mass = mass.copy()
+        mass[self.end], mass[self.open] = self.ends + ADD, 0.0
+        unseen = ADD / (mass.sum() + ADD)
+        transition = (1 - unseen) * (grid + ALPHA * mass / mass.sum()) / (grid.sum(1, keepdims=True) + ALPHA)
+        transition[:, self.open], mass[self.open] = unseen, ADD
+        with np.errstate(divide="ignore"):
+            self.factor = np.where(mass > 0, np.log10(np.maximum(transition, 1e-300)) - np.log10(np.maximum(mass, 1e-300)), -self.log_mass)
+
+
+def paths(df: DataFrame, model: ClassModel, table: DataFrame, scratch: Scratch, text_col: str, id_col: str) -> DataFrame:
+    """id_col, held_out, n_tokens, n_known, logs and the classes of all tokens from start to end (path), for each row."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the head, and no factors yet
 
     def each(found, batch):
         m = shared.value
-        count, klass, op = m.counts.get, m.klass.get, m.open
+        count, klass = m.counts.get, m.klass.get
         rows = []
         for t in found:
             words = lower_words(t)
@@ -207,16 +283,90 @@ def score(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str =
                     logs += n * math.log10(c + ADD)
             known += m.ends > 0
             logs += math.log10(m.ends + ADD)
-            path = np.array([m.start, *[klass(w, op) for w in words], m.end])
-            rows.append((len(words) + 1, known, logs, float(m.factor[path[:-1], path[1:]].sum()), [{"word": w, "tf": n} for w, n in rare.items()]))
+            at = {w: -1 - i for i, w in enumerate(rare)}
+            path = np.array([m.start, *[klass(w) if w not in at else at[w] for w in words], m.end], np.int16 if len(rare) < 32_000 else np.int32)
+            rows.append((len(words) + 1, known, logs, path.tobytes(), [{"word": w, "tf": n} for w, n in rare.items()]))
         return rows
 
     numbered = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), held_out_column(id_col).alias("held_out"), F.col(text_col))
-    lines = scratch.write(map_texts(numbered, text_col, ["_row", id_col, "held_out"], "n_tokens long, known long, logs double, factors double, rare array<struct<word: binary, tf: long>>", each))
-    rare = lines.select("_row", F.explode("rare").alias("x")).select("_row", "x.word", "x.tf").join(counts, "word", "left")
+    lines = scratch.write(map_texts(numbered, text_col, ["_row", id_col, "held_out"], "n_tokens long, known long, logs double, path binary, rare array<struct<word: binary, tf: long>>", each))
+    rare = lines.select("_row", F.posexplode("rare").alias("i", "x")).select("_row", "i", "x.word", "x.tf").join(table, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    ten = F.log10(c + F.lit(ADD))
-    tails = rare.select("_row", F.lit(None).cast(lines.schema[id_col].dataType).alias(id_col), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"), F.when(c > 0, F.col("tf")).otherwise(0).cast("long").alias("known"), (F.col("tf") * ten).alias("logs"), F.lit(0.0).alias("factors"))
-    whole = lines.drop("rare").union(tails).groupBy("_row").agg(F.max(id_col).alias(id_col), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("logs").alias("logs"), F.sum("factors").alias("factors"))
+    tails = rare.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("klass", F.lit(model.open)).alias("klass")))).alias("found"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * F.log10(c + F.lit(ADD))).alias("tail"))
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    whole = lines.drop("rare").join(tails, "_row", "left").select(F.col(id_col).alias("id"), "held_out", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), (F.col("logs") + zero("tail")).alias("logs"), "path", F.col("found.klass").alias("found"))
+    schema = whole.drop("found").schema
+    arrow = to_arrow_schema(schema)
+
+    def settled(batches):
+        for b in batches:
+            out = []
+            for n, path, found in zip(b.column("n_tokens").to_pylist(), b.column("path").to_pylist(), b.column("found")):
+                a = np.frombuffer(path, np.int16 if len(path) == 2 * (n + 1) else np.int32).astype(np.int64)
+                if found.is_valid:
+                    k = found.values.to_numpy()
+                    a = np.where(a < 0, k[np.where(a < 0, -1 - a, 0)], a)
+                out.append(a.astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) if f.name != "path" else pa.array(out, f.type) for f in arrow], schema=arrow)
+
+    settled_rows = scratch.write(whole.mapInArrow(settled, schema))
+    scratch.drop(lines)
+    return settled_rows
+
+
+def fit(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> tuple[ClassModel, DataFrame, DataFrame]:
+    """The model, the written table of all training words (word, c, klass), and the rows' paths."""
+    training = df.where(~held_out_column(id_col))
+    counts = scratch.write(word_counts(training, text_col))
+    found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    ends = training.count()
+    k, classes = max(CLUSTERED, math.isqrt(found["v"])), max(CLASSES, round(found["v"] ** (1 / 3)))
+    m = classes + 3
+    frequent = lambda t, n: t.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(n).collect()
+    core = [(bytes(r["word"]), r["c"]) for r in frequent(counts, k)]
+    scratch.drop(counts)
+    first, then, n = bigram_counts(training, text_col, [w for w, _ in core])
+    own = exchange(first, then, n, len(core), classes)
+    grid = np.zeros((m, m))
+    np.add.at(grid, (own[first], own[then]), n)
+    classed = df.sparkSession.createDataFrame([(bytearray(w), c, int(own[i])) for i, (w, c) in enumerate(core)], "word binary, c long, klass int")
+    slots = neighbour_counts(training, text_col, {w: int(own[i]) for i, (w, _) in enumerate(core)}, m)
+    table = scratch.write(added_classes(slots, grid, classes).unionByName(classed))
+    head = [(r["word"], r["c"], r["klass"]) for r in frequent(table, max(HEAD, k))]
+    model = ClassModel(head, classes, found["n"] + ends, found["v"] + bool(ends), ends)
+    rows = paths(df, model, table, scratch, text_col, id_col)
+
+    def code_of(batch):
+        a = [np.frombuffer(p, np.int16).astype(np.int64) for p in batch.column("path").to_pylist()]
+        return np.concatenate([x[:-1] * m + x[1:] for x in a] or [np.zeros(0, np.int64)])
+
+    pairs = rows.where("not held_out").select("path").mapInArrow(lambda batches: packed(batches, code_of), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most m ** 2 rows
+    whole, mass = np.zeros(m * m), np.zeros(m)
+    whole[pairs.column("code").to_numpy()] = pairs.column("n").to_numpy()
+    for r in table.groupBy("klass").agg((F.sum("c") + F.lit(ADD) * F.count("*")).alias("x")).collect():
+        mass[r["klass"]] = r["x"]
+    model.settle(whole.reshape(m, m), mass)
+    return model, table, rows
+
+
+def train(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> tuple[ClassModel, DataFrame]:
+    """The model, and the written table of all training words (word, c, klass)."""
+    return fit(df, scratch, text_col, id_col)[:2]
+
+
+def score(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, and perplexity by the class model, for each row."""
+    model, _, rows = fit(df, scratch, text_col, id_col)
+    shared = df.sparkSession.sparkContext.broadcast(model.factor)
+    schema = rows.withColumn("factors", F.lit(0.0)).drop("path").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            a = [np.frombuffer(p, np.int16) for p in b.column("path").to_pylist()]
+            sums = pa.array([float(shared.value[x[:-1], x[1:]].sum()) for x in a], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) if f.name != "factors" else sums for f in arrow], schema=arrow)
+
+    whole = rows.mapInArrow(run, schema)
     total = F.col("logs") + F.col("factors")
-    return whole.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(model.log_mass)).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"))
+    return whole.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(model.log_mass)).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"))

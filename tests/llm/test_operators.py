@@ -297,6 +297,27 @@ def test_class_model_sums_to_one_and_beats_the_base(spark):
     assert held.s > held.b * 0.85
 
 
+def test_class_model_gives_rare_words_classes(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "CLUSTERED", 60)
+    monkeypatch.setattr(class_lm, "HEAD", 70)
+    rng = random.Random(8)
+    texts = []
+    for i in range(600):
+        side = "ab"[i % 2]
+        texts.append(" ".join(f"{side}{rng.randrange(30)}" if k % 3 else f"{side}{side}{rng.randrange(200)}" for k in range(60)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, table = class_lm.train(df, Scratch(spark))
+    found = {bytes(r["word"]): (r["c"], r["klass"]) for r in table.collect()}
+    assert {w: c for w, (c, _) in found.items()} == Counter(w.encode() for i, t in enumerate(texts) if not class_lm.is_held_out(i) for w in t.split())
+    assert all(0 <= k < model.open for _, k in found.values())
+    # words that are alone in a fixed rank's open class stand in the classes of their own side, and so texts that differ in them score apart
+    a, b = ({k for w, (_, k) in found.items() if w.startswith(x)} for x in (b"aa", b"bb"))
+    assert not a & b
+    two = [(i, t) for i, t in [(10_000, "a1 a2 aa7 a3"), (10_001, "a1 a2 bb7 a3")]]
+    r = {x.doc_id: x.score - x.base_score for x in class_lm.score(df.union(spark.createDataFrame(two, df.schema)), Scratch(spark)).where("doc_id >= 10000").collect()}
+    assert r[10_000] > r[10_001] + 0.5
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://Example.ORG/es/x?y#z", "https://a.example.org/en/12", "http://example.org/en", "http://xexample.org/es/", "http://x.com/fr/", "http://x.com/de/1", "http://org", "http://org/", "http://x.org?/", "http://m.ads-track.example.net/a", "http://a.net/login", "http://a.net/x#/login", "x://y://z.com/de/", "http://ORG.example.net/p", "http://com:80/de/"]
     names = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
