@@ -1,11 +1,14 @@
 """Sharding by balanced label propagation, with DataFrame operations only.
 
-Documents of equal text are linked. Each starts in the shard that a hash of its id names. In each round, every group of
+Documents of equal text are linked. A group of more rows than a shard's share (there are at most as many as shards) is first
+packed into whole shards, its rest into the smallest room that takes it; the rounds and cuts leave it there. Each other
+document starts in the shard that a hash of its id names, among the rooms that are left. In each round, every group of
 linked documents asks to move its members towards the shard that holds most of them among those with room; requests to a
-shard are granted by groups' sizes, largest first, up to its quota, the last ones in proportion (SLACK times its even
-share, so that there is room to move when most rows are linked). Only members of a
+shard are granted by groups' sizes, largest first, up to its quota, the last ones in proportion (SLACK times its
+room, so that there is room to move when most rows are linked). Only members of a
 group's smaller parts move, so the sum of squares of its parts grows, the number of cut edges shrinks, and rounds end.
-Then every shard holds at most its exact share: what is above leaves, and unlinked documents fill all gaps.
+Then every shard holds at most its exact share: what is above leaves, smallest groups first, and fills all gaps together with
+unlinked documents; what leaves of a group stays side by side, and the largest gaps take the largest groups.
 
 Law `rows`: shards' row counts differ by at most one. State is one row a group with a count for each shard, so a group
 of any size is one small row, links are never listed as pairs, and members that are alike aren't told apart until the
@@ -31,9 +34,27 @@ def documents_table(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.md5(text.cast("binary")).alias("gid"))
 
 
-def linked_groups(docs: DataFrame, shards: int) -> DataFrame:
-    """(gid, n, counts): groups of at least two, with the number of members that start in each shard."""
+def packed(heavy: list, room: list[int]) -> dict[str, list[int]]:
+    """Counts by shard of each group (gid, n), largest first; room becomes what is left in each shard."""
+    out = {}
+    for gid, n in heavy:
+        counts = [0] * len(room)
+        while n:
+            enough = [s for s, r in enumerate(room) if r >= n]
+            s = min(enough, key=lambda x: room[x]) if enough else max(range(len(room)), key=lambda x: room[x])
+            counts[s] += (take := min(n, room[s]))
+            room[s] -= take
+            n -= take
+        out[gid] = counts
+    return out
+
+
+def linked_groups(docs: DataFrame, shards: int, room: list[int] | None = None) -> DataFrame:
+    """(gid, n, counts): groups of at least two, with the number of members that start in each shard, in proportion to room if given."""
     label = F.pmod(F.xxhash64("id", "size"), F.lit(shards)).cast("int")
+    if room and sum(room):
+        ends = F.array(*[F.lit(sum(room[: s + 1])).cast("long") for s in range(shards)])
+        label = F.size(F.filter(ends, lambda e: e <= F.pmod(F.xxhash64("id", "size"), F.lit(sum(room)))))
     cells = docs.select("gid", label.alias("shard")).groupBy("gid", "shard").agg(F.count("*").alias("c"))
     groups = cells.groupBy("gid").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("m")).where("n > 1")
     return groups.select("gid", "n", F.expr(f"transform(sequence(0, {shards - 1}), s -> coalesce(m[s], 0L))").alias("counts"))
@@ -44,11 +65,11 @@ def loads(groups: DataFrame, shards: int) -> list[int]:
     return [row[s] for s in range(shards)]
 
 
-def propagate(groups: DataFrame, total: int, scratch: Scratch, shards: int = SHARDS) -> DataFrame:
+def propagate(groups: DataFrame, rooms: list[int], scratch: Scratch, shards: int = SHARDS) -> DataFrame:
     """Rounds of moves under the shards' quotas, until none is made."""
-    quota = -(-int(total * SLACK) // shards)
+    quota = [int(r * SLACK) for r in rooms]
     for _ in range(ROUNDS):
-        free = [max(0, quota - x) for x in loads(groups, shards)]
+        free = [max(0, q - x) for q, x in zip(quota, loads(groups, shards))]
         room = F.array(*[F.lit(x).cast("long") for x in free])
         spot = F.expr(f"transform(sequence(0, {shards - 1}), s -> named_struct('c', counts[s], 'tie', -pmod(s + hash(gid), {shards}), 's', s))")
         asked = (
@@ -87,16 +108,27 @@ def assign(df: DataFrame, scratch: Scratch, shards: int = SHARDS, text_col: str
     docs = scratch.write(documents_table(df, text_col, id_col))
     total = docs.count()
     buckets = min(1 << 15, max(256, -(-total // 2_000_000)))
-    groups = propagate(scratch.write(linked_groups(docs, shards)), total, scratch, shards)
-    load = loads(groups, shards)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
+    found = docs.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > max(1, quota[0])).orderBy(F.desc("n"), "gid").collect()  # fewer than `shards` rows
+    room = list(quota)
+    heavy = packed([(r["gid"], r["n"]) for r in found], room)
+    if heavy:
+        big = docs.sparkSession.createDataFrame([(r["gid"], r["n"], heavy[r["gid"]]) for r in found], "gid string, n long, counts array<long>")
+        others = linked_groups(docs.join(F.broadcast(big.select("gid")), "gid", "left_anti"), shards, room)
+        groups = scratch.write(propagate(scratch.write(others), room, scratch, shards).unionByName(big))
+    else:
+        groups = propagate(scratch.write(linked_groups(docs, shards)), room, scratch, shards)
+    load = loads(groups, shards)
     kept = [min(a, b) for a, b in zip(load, quota)]
     gaps = [b - a for a, b in zip(kept, quota)]
 
     # where each part of a group starts in its shard
     c = [f"c{s}" for s in range(shards)]
-    wide = groups.select("gid", "n", *[F.col("counts")[s].alias(x) for s, x in enumerate(c)], F.pmod(F.xxhash64("gid"), F.lit(buckets)).cast("int").alias("bucket"))
-    ahead = running(wide.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in c]), "bucket", c)  # at most `buckets` rows
+    # in each shard the packed groups come first, then groups of over 256 by size, then all others
+    by_size = F.when(F.col("n") > max(1, quota[0]), -2000).when(F.col("n") > 256, -(F.floor(F.log2("n")) * SUB_BANDS + F.pmod(F.hash("gid"), F.lit(SUB_BANDS))))
+    bucket = F.coalesce(by_size, F.pmod(F.xxhash64("gid"), F.lit(buckets))).cast("int")
+    wide = groups.select("gid", "n", *[F.col("counts")[s].alias(x) for s, x in enumerate(c)], bucket.alias("bucket"))
+    ahead = running(wide.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in c]), "bucket", c)  # at most `buckets` and 64 * SUB_BANDS rows
     window = W.partitionBy("bucket").orderBy("gid").rowsBetween(W.unboundedPreceding, -1)
     inner = wide.select("gid", "n", "bucket", *c, *[F.coalesce(F.sum(x).over(window), F.lit(0)).alias(f"{x}_in") for x in c]).join(F.broadcast(ahead), "bucket")
     parts, start = [], F.lit(0).cast("long")
@@ -109,7 +141,8 @@ def assign(df: DataFrame, scratch: Scratch, shards: int = SHARDS, text_col: str
     # a member's number in its group, the large groups in parts
     limit = max(256, total // 1024)
     large = cells.where(F.col("n") > limit)  # at most 1024 rows
-    salted = docs.join(F.broadcast(large.select("gid", F.lit(True).alias("large"))), "gid", "left").withColumn("salt", F.when(F.col("large"), F.pmod(F.xxhash64("id", "size", "crc"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("large")
+    turns = large.select("gid", F.row_number().over(W.orderBy(F.desc("n"), "gid")).alias("large"))
+    salted = docs.join(F.broadcast(turns), "gid", "left").withColumn("salt", F.when(F.col("large").isNotNull(), F.pmod(F.xxhash64("id", "size", "crc"), F.lit(SALTS)).cast("int")).otherwise(0))
     per_salt = salted.where("salt >= 0").join(F.broadcast(large.select("gid")), "gid").groupBy("gid", "salt").agg(F.count("*").alias("c"))  # at most 1024 * SALTS rows
     ahead = per_salt.select("gid", "salt", F.coalesce(F.sum("c").over(W.partitionBy("gid").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     small = cells.where(F.col("n") <= limit).select("gid", F.lit(0).alias("salt"), "cells")
@@ -120,15 +153,16 @@ def assign(df: DataFrame, scratch: Scratch, shards: int = SHARDS, text_col: str
     limits = F.array(*[F.lit(k).cast("long") for k in kept])
     placed = ranked.withColumn("p", place).withColumn("slot", F.expr("p.pos + rank + coalesce(ahead, 0L) - p.start"))
     fits = F.col("p").isNotNull() & (F.col("slot") < limits[F.col("p.shard")])
-    placed = scratch.write(placed.select("id", "size", "crc", F.when(fits, F.col("p.shard")).alias("shard"), F.when(fits, F.col("slot")).alias("slot"), F.xxhash64("gid").alias("g"), F.pmod(F.xxhash64("gid", "salt", F.floor(F.col("rank") / 64)), F.lit(buckets)).cast("int").alias("bucket")))
+    placed = scratch.write(placed.select("id", "size", "crc", F.when(fits, F.col("p.shard")).alias("shard"), F.when(fits, F.col("slot")).alias("slot"), F.xxhash64("gid").alias("g"), F.when(F.col("large").isNotNull(), (F.col("large") - 2048) * SALTS + F.col("salt")).otherwise(F.pmod(F.xxhash64("gid"), F.lit(buckets))).cast("int").alias("bucket")))
 
-    # all others fill the gaps in order, small groups side by side
+    # all others fill the gaps, largest gap first, each group side by side, the large groups (at most 1024 * SALTS buckets) first
     loose = placed.where("shard is null")
     ahead = running(loose.groupBy("bucket").agg(F.count("*").alias("c")), "bucket", ["c"])
     turn = F.row_number().over(W.partitionBy("bucket").orderBy("g", "id", "crc")) - 1
     loose = loose.withColumn("turn", turn).join(F.broadcast(ahead), "bucket").withColumn("turn", F.col("turn") + F.col("c_before"))
-    ends = [sum(gaps[: s + 1]) for s in range(shards)]
-    into = reduce(lambda rest, s: F.when(F.col("turn") < ends[s], F.lit(s)).otherwise(rest), range(shards - 1, -1, -1), F.lit(None).cast("int"))
+    order = sorted(range(shards), key=lambda s: -gaps[s])
+    ends = [sum(gaps[x] for x in order[: order.index(s) + 1]) for s in range(shards)]
+    into = reduce(lambda rest, s: F.when(F.col("turn") < ends[s], F.lit(s)).otherwise(rest), order[::-1], F.lit(None).cast("int"))
     base = F.array(*[F.lit(kept[s] - (ends[s] - gaps[s])).cast("long") for s in range(shards)])
     loose = loose.withColumn("shard", into).withColumn("slot", F.col("turn") + base[F.col("shard")])
     out = ["id", "size", "crc", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")]

@@ -220,6 +220,14 @@ def test_sharding_keeps_copies_together(spark):
     assert sizes == [125] * 24
 
 
+def test_sharding_packs_a_group_larger_than_a_shard(spark):
+    rows = [(i, f"t{i % 700}") for i in range(2000)] + [(5000 + i, "hot") for i in range(1000)]
+    found = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark))
+    df = found.join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    assert df.where("text = 'hot'").select("shard").distinct().count() == 8  # 8 at least
+    assert sorted((r.shard, r.slot) for r in found.collect()) == [(s, k) for s in range(24) for k in range(125)]
+
+
 def test_quality_statistics(docs, rows):
     def slow(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
