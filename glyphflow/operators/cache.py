@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 IN_FLIGHT, ATTEMPTS, BASE_MS = 3, 3, 1000
@@ -28,10 +31,36 @@ def first_in_flight(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 
 
-def admitted(rows: DataFrame, key: str, start: str, hold_s: int, limit: int = IN_FLIGHT) -> DataFrame:
-    """Requests that find fewer than `limit` earlier ones of their key still running; each runs for hold_s seconds."""
-    w = W.partitionBy(key).orderBy(F.unix_micros(F.col(start).cast("timestamp"))).rangeBetween(-hold_s * 1_000_000 + 1, -1)
-    return rows.withColumn("running", F.count("*").over(w)).withColumn("admitted", F.col("running") < limit)
+def admitted(rows: DataFrame, key: str, start: str, hold_s: int, limit: int = IN_FLIGHT, order: str | None = None) -> DataFrame:
+    """Requests that find fewer than `limit` admitted ones of their key still running; each admitted one runs for hold_s seconds.
+
+    Rejected requests take no place. A key's requests are taken by time, those of equal time by `order`, in one pass whose
+    state is the end times of the running ones. A request without a time finds none running and takes no place.
+    """
+    at = F.unix_micros(F.col(start).cast("timestamp"))
+    schema = StructType([*rows.schema.fields, StructField("running", LongType()), StructField("admitted", BooleanType())])
+    arrow, width = to_arrow_schema(schema), len(rows.columns)
+
+    def run(batches):
+        now, ends = None, []  # at most `limit` end times
+        for batch in batches:
+            running = []
+            for k, t in zip(batch.column("_key").to_pylist(), batch.column("_at").to_pylist()):
+                if (k,) != now:
+                    now, ends = (k,), []
+                if t is None:
+                    running.append(0)
+                    continue
+                ends = [e for e in ends if e > t]
+                running.append(len(ends))
+                if len(ends) < limit:
+                    ends.append(t + hold_s * 1_000_000)
+            out = [batch.column(i).cast(arrow.field(i).type) for i in range(width)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(running, pa.int64()), pa.array([n < limit for n in running])], schema=arrow)
+
+    named = rows.withColumn("_key", F.col(key)).withColumn("_at", at)
+    dealt = named.repartition(F.col("_key")).sortWithinPartitions("_key", "_at", *([order] if order else []))
+    return dealt.mapInArrow(run, schema)
 
 
 def round_robin(idx: Column, instances: int) -> Column:

@@ -43,7 +43,7 @@ def dedup_inflight(spark, sf):
 
 @query("SELECT event_id, running, running < 3 AS admitted FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND 1 PRECEDING) AS running FROM events) z")
 def admission_cap(spark, sf):
-    return C.admitted(view(spark, sf, "events"), "user_id", "ts", 86400).select("event_id", "running", "admitted")
+    return C.admitted(view(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 86400, order="event_id").select("event_id", "running", "admitted")
 
 
 @query("SELECT doc_id, CAST(doc_id % 6 AS INT) AS instance FROM documents")

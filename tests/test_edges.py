@@ -137,3 +137,19 @@ def test_cache_upsert(spark, tmp_path):
     first = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 1)], "key string, value int, seq int")
     table = runs.upsert_cache(first, str(tmp_path / "none"), "key", "seq")
     assert {r.key: r.value for r in table.collect()} == {"a": 2, "b": 3}
+
+
+def test_rejected_requests_take_no_place(spark):
+    rng = random.Random(5)
+    rows = [(i, i % 3, rng.randrange(60)) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long").selectExpr("event_id", "user_id", "timestamp_seconds(s) as ts")
+    want = {}
+    for user in range(3):
+        ends = []
+        for i, _, s in sorted((r for r in rows if r[1] == user), key=lambda r: (r[2], r[0])):
+            ends = [e for e in ends if e > s]
+            want[i] = (len(ends), len(ends) < 3)
+            if len(ends) < 3:
+                ends.append(s + 10)
+    got = {r.event_id: (r.running, r.admitted) for r in C.admitted(df, "user_id", "ts", 10, order="event_id").collect()}
+    assert got == want
