@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "/tmp/checkpoints"
+        found = "/tmp/checkpoints"  # one process, as in tests
     return found.rstrip("/")
 
 
@@ -51,12 +52,20 @@ def bound_batches(spark: SparkSession) -> None:
 class Scratch:
     """Tables written to the shared folder. They cut lineage, so that a lost executor costs no repeated work.
 
-    Tables that no later result reads go with drop(); the others go when the session's JVM ends.
+    Tables that no later result reads go with drop() or close(), or at the end of a `dropping()` block; the others go when
+    the session's JVM ends.
     """
 
+    opened: list[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
         bound_batches(spark)
+        if Scratch.opened:
+            Scratch.opened[-1].append(self)
+
+    def close(self) -> None:
+        self.drop(*[df for _, df in self.paths.values()])
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/glyphflow/{uuid.uuid4().hex}"
@@ -74,6 +83,17 @@ class Scratch:
                 found[0].getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(found[0], True)
 
 
+@contextmanager
+def dropping():
+    """Drops at its end all tables of the Scratches that were opened in it."""
+    Scratch.opened.append([])
+    try:
+        yield
+    finally:
+        for scratch in Scratch.opened.pop():
+            scratch.close()
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the files of shuffles that nothing refers to any more."""
     import gc
@@ -88,6 +108,11 @@ def texts(df: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
     return df.select(*own, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("_text"))
 
 
+def decoded(text: bytes) -> str:
+    """Bytes that are no UTF-8 (Spark strings may hold them) become U+FFFD."""
+    return text.decode("utf-8", "replace")
+
+
 def text_column(batch: pa.RecordBatch, name: str = "_text") -> list[bytes]:
     return batch.column(name).to_pylist()
 
@@ -144,29 +169,3 @@ def file_bytes(path: str) -> bytes:
     """A vocabulary or rule file of fixed size, read on the driver and broadcast by the caller."""
     with open(path, "rb") as f:
         return f.read()
-
-
-#: The code points that byte-level pre-splitting takes as white space, and its pattern.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def regex_splitter(raw: bytes):
-    """(coarse, fine): a text into pieces that the pre-splitting pattern never crosses, and a piece into its words.
-
-    Classes of code points from U+0530 differ between Unicode versions, so pieces with such code points are split by the library itself.
-    """
-    import re
-
-    import regex
-    from tokenizers import Tokenizer
-
-    coarse = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
-    simple, exact = regex.compile(SPLIT).findall, Tokenizer.from_str(raw.decode()).pre_tokenizer.pre_tokenize_str
-
-    def fine(s: str) -> list[str]:
-        if s.isascii() or max(s) < "԰":
-            return simple(s)
-        return [s[a:b] for _, (a, b) in exact(s)]
-
-    return coarse, fine
