@@ -8,8 +8,12 @@ most CELL, and each tree goes (is sent) to the shard's other parts, so no task h
 cell leave as its spanning forest: the classes stay, pairs do not multiply. Classes meet by min-label hooking over
 distinct fingerprints with pointer jumping, in written tables.
 
+Trees are sent by shuffles, not by the driver: a driver that broadcasts every shard's tree would hold the fingerprints of
+all documents, which grow with the corpus.
+
 Equal fingerprints are one node, so groups of copies cost nothing. No words: fingerprint zero, linked like any other.
-Null texts have no words. Repeated rows share a class.
+Null texts have no words. Repeated rows share a class, and so do rows with the same text and no id. A very long text is
+hashed 32,768 shingles at a time.
 """
 
 from __future__ import annotations
@@ -213,26 +217,37 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return nodes
 
 
-def near_duplicates(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id_col, fp, component_id (the smallest id reachable) and leader_fp (that row's smallest fingerprint) for each row."""
-    prints = scratch.write(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"]))
-    firsts = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("first")))
+def classes(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, leader) for each distinct fingerprint of prints (id, row, fp): the struct (none, id, row) of its class's first row, that is
+    the one with the smallest id and of those the smallest row; rows without an id come last."""
+    firsts = scratch.write(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")))
     edges = links(firsts.select("fp"), scratch)
     roots = components(edges, scratch)
     scratch.drop(edges)
     member = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # the smallest (id, fingerprint) of each class; null ids last
-    best = member.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "fp")).alias("best"))
-    classes = scratch.write(member.join(best, "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.fp").alias("leader_fp")))
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "leader_fp")
+    best = member.groupBy("root").agg(F.min("first").alias("leader"))
+    found = scratch.write(member.join(best, "root").select("fp", "leader"))
+    scratch.drop(firsts, roots)
+    return found
+
+
+def near_duplicates(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """id_col, fp and component_id (the smallest id reachable; null where no row of the class has one) for each row."""
+    prints = scratch.write(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"]))
+    found = classes(prints.withColumn("row", F.lit(0).cast("long")), scratch)
+    return prints.join(found, "fp").select(F.col("id").alias(id_col), "fp", F.col("leader.id").alias("component_id"))
 
 
 def keep_leaders(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of each class, all columns: that with the smallest id (of equal ids one). Rows without an id stay."""
+    """Exactly one row of each class, all columns: that with the smallest id; of equal ids one, rows without an id only where all are.
+
+    Rows are numbered in a written table beside their fingerprints, so texts are read once and shuffled once, and rows that
+    share an id but not a class stay apart.
+    """
     plain, name = neutral(df)
-    key = name[id_col]
-    found = near_duplicates(plain, scratch, name[text_col], key)
-    leaders = scratch.write(found.where(F.col(key) == F.col("component_id")).where("fp = leader_fp").select(F.col(key).alias("lead_id"), F.col("fp").alias("lead_fp")).distinct())
-    printed = fingerprints(plain, name[text_col], plain.columns)
-    kept = printed.join(leaders, (printed[key] == leaders["lead_id"]) & (printed["fp"] == leaders["lead_fp"]), "left_semi").drop("fp").dropDuplicates([key])
-    return kept.unionByName(plain.where(F.col(key).isNull())).toDF(*df.columns)
+    numbered = plain.withColumn("row", F.monotonically_increasing_id())
+    printed = scratch.write(fingerprints(numbered, name[text_col], numbered.columns))
+    found = classes(printed.select(F.col(name[id_col]).alias("id"), "row", "fp"), scratch)
+    leaders = scratch.write(found.select(F.col("leader.row").alias("row")).distinct())
+    scratch.drop(found)
+    return printed.join(leaders.hint("shuffle_hash"), "row", "left_semi").select(*plain.columns).toDF(*df.columns)
