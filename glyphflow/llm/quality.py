@@ -2,9 +2,11 @@
 
 A tree cuts the box of all labelled rows' statistics by random splits (a random statistic, a random value within the
 box) until a part holds at most one of its sample of good rows. A document that lands in a thinly populated part has a
-short path. The path length below which a document is rejected is set over all labelled rows: the one that catches most
-bad rows while it rejects at most LOSS of the good ones. Without labelled rows of both kinds the method rejects none.
-A null text has no words; null labels count as unlabelled; repeated rows are judged alike.
+short path. The path length below which a document is rejected is set over all labelled rows that the base rules pass: of
+the thresholds that reject at most LOSS of the good rows, that which catches most bad ones and, among equals, loses fewest
+good ones; it lies halfway up the gap above. Without labelled rows of both kinds the method rejects none.
+A null text has no words; null labels count as unlabelled; an id that is labelled twice counts twice; repeated rows and
+equal statistics are judged alike, and a path just as long as the threshold is kept. A very long text is one row of sums.
 """
 
 from __future__ import annotations
@@ -133,14 +135,34 @@ def rule_statistics(df: DataFrame, text_col: str = "text", keep: list[str] | Non
     return map_texts(df, text_col, list(df.columns) if keep is None else keep, SCHEMA, lambda found, _: [statistics(t) for t in found])
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> QualityModel:
+def calibrate(bad: np.ndarray, good: np.ndarray, loss: float = LOSS) -> int:
+    """The number of bins, from the shortest paths up, that are rejected; bad and good: labelled rows in each bin."""
+    lost = np.concatenate([[0], np.cumsum(good)])
+    caught = np.concatenate([[0], np.cumsum(bad)])
+    within = np.where(lost <= loss * lost[-1])[0]
+    least = int(within[np.argmax(caught[within])])  # the first of those that catch most
+    if not caught[least]:
+        return 0
+    same = within[(caught[within] == caught[least]) & (lost[within] == lost[least])]
+    return int(least + (same[-1] - least) // 2)
+
+
+def fit(stats: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> QualityModel:
     """Fits the forest on at most FIT_ROWS good rows; ranges and threshold come from all labelled rows.
 
     stats: rule_statistics() with id_col. labels: id_col and quality (1 good, 0 bad).
     """
     cols = [F.col(c) for c in STATS]
     labelled = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_quality")).where("_quality in (0, 1)")
-    rows = stats.select(F.col(id_col).alias("_id"), *cols).join(labelled, "_id").where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
+    rows = scratch.write(stats.select(F.col(id_col).alias("_id"), *cols).join(labelled, "_id").where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words"))
+    try:
+        return fitted(rows, cols)
+    finally:
+        scratch.drop(rows)
+
+
+def fitted(rows: DataFrame, cols: list) -> QualityModel:
+    """The model from labelled rows (_id, _quality and the statistics)."""
     sample = rows.where("_quality = 1").orderBy(F.xxhash64("_id"), *cols).limit(FIT_ROWS).select(*cols).collect()
     if len(sample) < 2:
         return QualityModel(None, -math.inf)
@@ -169,9 +191,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> QualityM
         hist[r["code"] // 2, r["code"] % 2] += r["n"]
     if not hist[:, 0].sum():
         return QualityModel(None, -math.inf)
-    good = np.cumsum(hist[:, 1]) / max(hist[:, 1].sum(), 1)
-    cut = int(np.searchsorted(good, LOSS, side="right"))  # so many bins, from the shortest paths, hold at most LOSS of the good rows
-    return QualityModel(forest, cut * top / BINS)
+    return QualityModel(forest, calibrate(hist[:, 0], hist[:, 1]) * top / BINS)
 
 
 def judged(stats: DataFrame, model: QualityModel) -> DataFrame:
@@ -196,13 +216,13 @@ def judged(stats: DataFrame, model: QualityModel) -> DataFrame:
 def judge(df: DataFrame, labels: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, the rule statistics, base_failed, path_length and kept for each row; texts are read once."""
     stats = scratch.write(rule_statistics(df, text_col, [id_col]))
-    return judged(stats, fit(stats, labels, id_col))
+    return judged(stats, fit(stats, labels, scratch, id_col))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of df, all columns, that the base rules and the method keep. Texts are read twice and never shuffled."""
     stats = scratch.write(rule_statistics(df, text_col, [id_col]))
-    model = df.sparkSession.sparkContext.broadcast(fit(stats, labels, id_col))
+    model = df.sparkSession.sparkContext.broadcast(fit(stats, labels, scratch, id_col))
     scratch.drop(stats)
 
     def each(found, _):
