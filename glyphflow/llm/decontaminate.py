@@ -8,13 +8,12 @@ overlap by a window less a word, so a shard's size is bounded and no match is lo
 
 A window is WINDOW consecutive words of an item; an item of fewer words, but not none, is one window. Null texts have no
 words. Items are handled in blocks of at most BLOCK_WORDS words; where there is more than one block, the blocks' spans of a
-document meet by a row number. Repeated item ids count once, with all their windows.
+document meet by a row number. Repeated item ids count once, with all their windows; the windows of an item without an id
+hit words, but no item is counted for them. Repeated rows are judged each.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,7 +140,7 @@ class Phrases:
             # from 1 up: 0 is the break
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text)]
             for i in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + WINDOW]), set()).add(str(item))
+                windows.setdefault(tuple(ids[i : i + WINDOW]), set()).update(() if item is None else (str(item),))
         self.items = [sorted(x) for x in windows.values()]
         self.lengths = np.array([len(w) for w in windows], dtype=np.int64)
         self.lines = np.zeros((len(windows), WINDOW), dtype=np.int64)
@@ -300,18 +299,3 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, scratch: Scratch, tex
     plain, name = neutral(df)
     found = find_spans(plain, benchmark, scratch, name[text_col])
     return found.where(~contaminated(F.col("n_words"), F.expr(N_HIT))).drop("n_words", "spans", "items").toDF(*df.columns)
-
-
-def brute(text: bytes, items: list[tuple[object, bytes]]) -> tuple[int, int, str, bool]:
-    """The same by plain comparison, for tests: n_words, n_hit, items, contaminated."""
-    words = alnum_words(text)
-    hit, own = set(), set()
-    for item, t in items:
-        iw = alnum_words(t)
-        for i in range(max(1, len(iw) - WINDOW + 1) if iw else 0):
-            w = iw[i : i + WINDOW]
-            for j in range(len(words) - len(w) + 1):
-                if words[j : j + len(w)] == w:
-                    hit.update(range(j, j + len(w)))
-                    own.add(str(item))
-    return len(words), len(hit), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
