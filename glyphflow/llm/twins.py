@@ -7,8 +7,7 @@ strings by grouping all of them.
 
 from __future__ import annotations
 
-from .licenses import COVERAGE, PHRASES, TEMPLATES
-from .url_rules import PATTERN_RULES, SITE_RULES
+from .licenses import PHRASES, TEMPLATES
 
 #: Words of a text in lower case (A-Z only), as in the contract of op2 and op5.
 WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -31,10 +30,14 @@ key_words AS (SELECT k, unnest(key_w) AS word, generate_subscripts(key_w, 1) - 1
 template_words AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS j, len(w) AS n FROM templates),
 places AS (SELECT r, k, i - j AS place FROM spots JOIN phrase_words USING (word) GROUP BY r, k, place HAVING count(*) = any_value(n)),
 keys AS (SELECT r, k, i - j AS place FROM spots JOIN key_words USING (word) GROUP BY r, k, place HAVING count(*) = any_value(n)),
-cover AS (SELECT r, k, place, count(*) / any_value(n) AS share FROM spots JOIN template_words USING (word) JOIN keys USING (r, k) WHERE i - j = place GROUP BY r, k, place),
+frequency AS (SELECT word, count(DISTINCT r) AS files FROM spots GROUP BY word),
+voters AS (SELECT r, k, word FROM (SELECT r, k, word, row_number() OVER (PARTITION BY r, k ORDER BY files, word) AS turn
+    FROM (SELECT DISTINCT r, word FROM spots) JOIN (SELECT DISTINCT k, word FROM template_words) USING (word) JOIN frequency USING (word)) WHERE turn <= 6),
+votes AS (SELECT r, k, i - j AS place FROM voters JOIN spots USING (r, word) JOIN template_words USING (k, word) GROUP BY r, k, place HAVING count(*) >= 3),
+cover AS (SELECT r, k, place, count(*) / any_value(n) AS share FROM spots JOIN template_words USING (word) JOIN keys USING (r, k) SEMI JOIN votes USING (r, k, place) WHERE i - j = place GROUP BY r, k, place),
 base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places JOIN phrases USING (k) GROUP BY r),
 own AS (SELECT r, max(share) AS share FROM cover GROUP BY r),
-named AS (SELECT r, label FROM places JOIN phrases USING (k) UNION SELECT r, label FROM cover JOIN templates USING (k) WHERE share >= {COVERAGE}),
+named AS (SELECT r, label FROM places JOIN phrases USING (k) UNION SELECT r, label FROM cover JOIN templates USING (k) WHERE share >= 0.5),
 labels AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM named GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
     coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
@@ -55,16 +58,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)
 """
 
-OP9 = f"""
+OP9 = """
 WITH cut AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 split AS (SELECT r, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut),
 parts AS (SELECT r, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM split),
-rules AS (SELECT name, own, split_part(name, '/', 1) AS rule_host, substr(name, position('/' IN name)) AS rule_path FROM (VALUES {values([(x.name, x.verdict) for x in SITE_RULES])}) v(name, own)),
+rules AS (SELECT name, own, split_part(name, '/', 1) AS rule_host, substr(name, position('/' IN name)) AS rule_path FROM (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')) v(name, own)),
 site AS (SELECT r, name, own, row_number() OVER (PARTITION BY r ORDER BY length(name) DESC, name) AS turn FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
-patterns AS (SELECT name, substr(name, 9) AS word FROM (VALUES {values([(x.name,) for x in PATTERN_RULES])}) v(name)),
-fits AS (SELECT r, name, row_number() OVER (PARTITION BY r ORDER BY length(name) DESC, name) AS turn FROM parts JOIN patterns
-    ON CASE WHEN starts_with(word, '/') THEN contains(path || '/', word || '/') ELSE regexp_matches(host, '(^|[^0-9a-z])' || word || '([^0-9a-z]|$)') END)
-SELECT page_id, host, path, site.name AS rule, coalesce(own, CASE WHEN fits.name IS NULL THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN site.name IS NULL THEN fits.name END AS pattern
+topics AS (SELECT unnest(['adult', 'casino', 'cam', 'escort', 'keygen', 'lottery', 'pills', 'poker', 'porn', 'replica', 'roulette', 'sex', 'slots', 'spam', 'warez', 'xxx']) AS t),
+tails AS (SELECT unnest(['bonus', 'club', 'farm', 'free', 'hub', 'live', 'mart', 'online', 'shop', 'tube', 'vip', 'win', 'x']) AS x),
+ads AS (SELECT unnest(['ad', 'ads', 'adserver', 'advert', 'affiliate', 'banner', 'banners', 'beacon', 'pixel', 'popup', 'promo', 'sponsor', 'track', 'tracker', 'tracking']) AS a),
+places AS (SELECT unnest(['click', 'collect', 'img', 'js', 'log', 'redirect', 'serve', 'view']) AS p),
+patterns AS (SELECT '||' || t || '-' || x || '.' AS name, 'block' AS own, '.' || t || '-' || x || '.' AS in_host, '' AS in_path, '' AS page FROM topics, tails
+    UNION ALL SELECT '||' || w || '.', 'block', '.' || w || '.', '', '' FROM (SELECT t AS w FROM topics UNION ALL SELECT a FROM ads)
+    UNION ALL SELECT '||' || a || '-' || x || '.', 'block', '.' || a || '-' || x || '.', '', '' FROM ads, (SELECT unnest(['cdn', 'net', 'server', 'track']) AS x)
+    UNION ALL SELECT '||' || a || '-*/' || p || '/', 'block', '.' || a || '-', '/' || p || '/', '' FROM ads, places
+    UNION ALL SELECT '/' || a || '/' || p || '/', 'block', '', '/' || a || '/' || p || '/', '' FROM ads, places
+    UNION ALL SELECT '/' || p || '^', 'block', '', '', p FROM (SELECT unnest(['login', 'signin', 'cart', 'checkout']) AS p)
+    UNION ALL SELECT '@@||' || t || '-help.', 'allow', '.' || t || '-help.', '', '' FROM topics
+    UNION ALL SELECT '@@||' || t || '.*/help/', 'allow', '.' || t || '.', '/help/', '' FROM topics),
+fits AS (SELECT r, name, patterns.own, row_number() OVER (PARTITION BY r ORDER BY patterns.own, length(name) DESC, name) AS turn FROM (SELECT r, host, translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM parts) JOIN patterns
+    ON CASE WHEN page <> '' THEN regexp_matches(low, '/' || page || '([^0-9a-z_.%-]|$)') ELSE (in_host = '' OR contains('.' || host, in_host)) AND contains(low, in_path) END)
+SELECT page_id, host, path, site.name AS rule, coalesce(site.own, fits.own, 'allow') AS verdict, CASE WHEN site.name IS NULL THEN fits.name END AS pattern
 FROM parts LEFT JOIN site ON site.r = parts.r AND site.turn = 1 LEFT JOIN fits ON fits.r = parts.r AND fits.turn = 1
 """
 

@@ -1,8 +1,11 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A URL's tokens fetch the few rules whose rarest token it holds, and only those run their regular expressions. Rarity is
-the number of URLs that hold the token, counted over the whole table. A null URL or one without :// has an empty host and
-path, no token and no rule, and is allowed; ties between rules of one length go to the rule that sorts first.
+the number of URLs that hold the token, counted over the whole table; rules without a literal token, if any, are tried on
+every URL. Site rules (host/path) go first; where none fits, rules in the common filter syntax decide (`filter_rule`).
+A null URL or one without :// has an empty host and path, no token and no rule, and is allowed; ties between rules of one
+length go to the rule that sorts first. Bytes that are no UTF-8 count as U+FFFD. A very long URL costs its tokens and the
+rules that they fetch; repeated URLs get the same verdict each.
 """
 
 from __future__ import annotations
@@ -11,10 +14,11 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import decoded, map_texts, slices, text_column, texts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TOKEN = re.compile(r"[0-9a-z]+")
@@ -38,12 +42,44 @@ def site_rule(name: str, verdict: str) -> Rule:
     return Rule(name, verdict, rf"(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + path)}", tuple(whole))
 
 
+def filter_rule(name: str) -> Rule:
+    """A rule in the common filter syntax, for host + path with A-Z in lower case.
+
+    `||` at the start: where the host or one of its labels starts; else the rule may fit anywhere. `*`: any signs.
+    `^`: a separator (none of 0-9 a-z _ - . %) or the end. `@@` before it all: an exception, which allows.
+    """
+    body = name.removeprefix("@@")
+    labelled = body.startswith("||")
+    body = body.removeprefix("||")
+    parts = {"*": ".*", "^": r"(?:[^0-9a-z_.%-]|\Z)"}
+    pattern = (r"(?:[^/]*\.)?" if labelled else ".*?") + "".join(parts.get(c) or re.escape(c) for c in body)
+    whole = [m[0] for m in TOKEN.finditer(body) if (body[m.start() - 1] != "*" if m.start() else labelled) and m.end() < len(body) and body[m.end()] != "*"]
+    return Rule(name, "allow" if name.startswith("@@") else "block", pattern, tuple(whole))
+
+
 #: Rules whose names are reported; the longest that fits wins.
 SITE_RULES = (site_rule("org/", "allow"), site_rule("example.org/es/", "block"), site_rule("example.org/en/1", "block"), site_rule("com/fr/", "allow"), site_rule("com/de/", "block"))
-#: The method's own patterns, which decide where no site rule fits: advertising, tracking, gambling and adult hosts, and sign-in paths.
+#: What the method's own rules are made of: unwanted topics and what their sites add, advertising and where it is served from, sign-in and shop pages.
+TOPICS = ("adult", "casino", "cam", "escort", "keygen", "lottery", "pills", "poker", "porn", "replica", "roulette", "sex", "slots", "spam", "warez", "xxx")
+TAILS = ("bonus", "club", "farm", "free", "hub", "live", "mart", "online", "shop", "tube", "vip", "win", "x")
+ADS = ("ad", "ads", "adserver", "advert", "affiliate", "banner", "banners", "beacon", "pixel", "popup", "promo", "sponsor", "track", "tracker", "tracking")
+PLACES = ("click", "collect", "img", "js", "log", "redirect", "serve", "view")
+SERVERS = ("cdn", "net", "server", "track")
+PAGES = ("login", "signin", "cart", "checkout")
+#: The method's own rules, which decide where no site rule fits; exceptions go before all others.
 PATTERN_RULES = tuple(
-    Rule(f"pattern:{t}", "block", rf"[^/]*(?<![0-9a-z]){t}(?![0-9a-z])[^/]*(?:/|$)", (t,)) for t in ("ad", "ads", "adserver", "banner", "banners", "casino", "poker", "porn", "track", "tracker", "tracking", "xxx")
-) + tuple(Rule(f"pattern:/{t}", "block", rf"[^/]*/(?:.*/)?{t}(?:/|$)", (t,)) for t in ("login", "signin", "cart", "checkout"))
+    map(
+        filter_rule,
+        [f"||{t}-{x}." for t in TOPICS for x in TAILS]
+        + [f"||{t}." for t in (*TOPICS, *ADS)]
+        + [f"||{a}-{x}." for a in ADS for x in SERVERS]
+        + [f"||{a}-*/{p}/" for a in ADS for p in PLACES]
+        + [f"/{a}/{p}/" for a in ADS for p in PLACES]
+        + [f"/{p}^" for p in PAGES]
+        + [f"@@||{t}-help." for t in TOPICS]
+        + [f"@@||{t}.*/help/" for t in TOPICS],
+    )
+)
 
 
 def split_url(url: str) -> tuple[str, str]:
@@ -65,13 +101,19 @@ class RuleIndex:
 
     def __init__(self, rules, frequency: dict[str, int]):
         self.by_token: dict[str, list] = {}
+        self.always: list = []
         for r in rules:
-            rarest = min(r.tokens, key=lambda t: (frequency.get(t, 0), t))
-            self.by_token.setdefault(rarest, []).append((r, re.compile(r.pattern, re.DOTALL)))
+            rarest = min(r.tokens, key=lambda t: (frequency.get(t, 0), t), default=None)
+            (self.always if rarest is None else self.by_token.setdefault(rarest, [])).append((r, re.compile(r.pattern, re.DOTALL)))
 
-    def best(self, host: str, path: str, tokens: set[str]) -> Rule | None:
-        found = [r for t in tokens for r, p in self.by_token.get(t, ()) if p.match(host + path)]
-        return min(found, key=lambda r: (-len(r.name), r.name), default=None)
+    def candidates(self, tokens: set[str]) -> list:
+        """Rules, with their regular expressions, that the tokens fetch."""
+        return self.always + [x for t in self.by_token.keys() & tokens for x in self.by_token[t]]
+
+    def best(self, url: str, tokens: set[str], exceptions: bool = False) -> Rule | None:
+        """Of the rules that fit the longest; exceptions (allowing rules) first, if they are such."""
+        found = [r for r, p in self.candidates(tokens) if p.match(url)]
+        return min(found, key=lambda r: (exceptions and r.verdict != "allow", -len(r.name), r.name), default=None)
 
 
 def token_frequency(df: DataFrame, rules, url_col: str = "url") -> dict[str, int]:
@@ -80,15 +122,12 @@ def token_frequency(df: DataFrame, rules, url_col: str = "url") -> dict[str, int
 
     def run(batches):
         seen = Counter()
-        import pyarrow as pa
-
-        for batch in batches:
-            for url in batch.column(0).to_pylist():
-                seen.update(url_tokens(*split_url(url)) & wanted)
+        for part in slices(batches):
+            for url in text_column(part):
+                seen.update(url_tokens(*split_url(decoded(url))) & wanted)
         yield pa.RecordBatch.from_pydict({"token": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    urls = df.select(F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"))
-    return {r["token"]: r["n"] for r in urls.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    return {r["token"]: r["n"] for r in texts(df, url_col).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
 def judge(df: DataFrame, url_col: str = "url", keep: list[str] | None = None, site_rules=SITE_RULES, pattern_rules=PATTERN_RULES, default: str = "allow") -> DataFrame:
@@ -103,10 +142,10 @@ def judge(df: DataFrame, url_col: str = "url", keep: list[str] | None = None, si
             index.extend((RuleIndex(site_rules, frequency), RuleIndex(pattern_rules, frequency)))
         rows = []
         for t in found:
-            host, path = split_url(t.decode())
+            host, path = split_url(decoded(t))
             tokens = url_tokens(host, path)
-            site = index[0].best(host, path, tokens)
-            own = None if site else index[1].best(host, path, tokens)
+            site = index[0].best(host + path, tokens)
+            own = None if site else index[1].best((host + path).translate(LOWER), tokens, exceptions=True)
             rows.append((host, path, site and site.name, (site or own).verdict if site or own else default, own and own.name))
         return rows
 
