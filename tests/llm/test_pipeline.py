@@ -65,6 +65,14 @@ def test_stages_and_run(spark):
         assert rows[i].n_tokens == len(ids) and rows[i].decoded_sha256 == hashlib.sha256(cut[i].encode()).hexdigest()
 
 
+def test_run_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registered.queries()))
 def test_queries_return_all_rows(spark, name):
     table, key = ("pages", "page_id") if name.startswith("op9_") else ("documents", "doc_id")
