@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, collect_garbage, neutral, slices, text_column, texts
+from .common import Scratch, collect_garbage, decoded, neutral, slices, text_column, texts
 
 SPAN, REACH = 200, 128
 #: Any string of SPAN bytes holds so many bytes from its anchor on.
@@ -386,7 +386,7 @@ def drop_repeats(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col
     text = name[text_col]
     keep = [c for c in plain.columns if c != text]
     source = with_spans(plain, scratch, text, name[id_col], *keep)
-    done = mapped(source, keep, f"{text} string", lambda t, runs: (without(t, whole_letters(t, runs)).decode(),))
+    done = mapped(source, keep, f"{text} string", lambda t, runs: (decoded(without(t, whole_letters(t, runs))),))
     if length_col:
         done = done.withColumn(name[length_col], F.length(text).cast(df.schema[length_col].dataType))
     return done.select(*plain.columns).toDF(*df.columns)
