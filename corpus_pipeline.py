@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphflow.llm import bpe, decontaminate, quality, simhash, suffixes
-from glyphflow.llm.common import Scratch
+from glyphflow.llm.common import Scratch, dropping
 from glyphflow.llm.queries import table, vocabulary
 
 
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: that with the smallest id."""
+    """Exactly one document of each group of linked fingerprints: that with the smallest id."""
     return simhash.keep_leaders(docs, Scratch(spark))
 
 
@@ -48,7 +48,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        done = scratch.write(stage(spark, docs, sf_dir))
+        with dropping():  # what the stage wrote for itself
+            done = scratch.write(stage(spark, docs, sf_dir))
         scratch.drop(docs)
         docs = done
     return docs
