@@ -31,7 +31,7 @@ from .common import decoded, file_bytes, map_texts
 
 NEVER = 1 << 30
 #: Arcs that a worker remembers, states whose rows it keeps, bytes of words that are read side by side, and of the longest such word.
-ARCS, STATES, SLICE, LONG = 1 << 20, 1 << 18, 1 << 20, 64
+ARCS, STATES, SLICE, LONG = 1 << 20, 1 << 18, 1 << 19, 64
 #: Places of the transition arrays, of which half are used at most.
 ROW_BITS, WALKED = 21, 1
 

@@ -10,8 +10,10 @@ share, plus that of the word within its class, (c + 0.1) over the class's count
 word has its unigram probability after each class. So the probabilities after each class sum to one.
 
 All counts cover all training documents (crc32 of the id as text, mod 10, is not 0) and are combined before they are
-shuffled. The head, the HEAD most frequent words of at most WORD_BYTES bytes, goes to the workers with counts and classes; all
-others are joined on the word. A null text is empty: its end is its only token. A null id counts as the text ''.
+shuffled. The head, at most HEAD of the most frequent words of at most WORD_BYTES bytes, goes to the workers; texts become
+numbers of head words once, beside their other words, and all later steps read those. Other words are joined on the word,
+and what stands beside a word travels as one packed value a task. A null text is empty: its end is its only token. A null
+id counts as the text ''. Words of equal counts are taken in their own order. A very long text is one row of numbers.
 Repeated rows are scored each; with no training rows all counts are zero.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Scratch, lower_words, map_texts, slices, text_column, texts
 
-HEAD, CLUSTERED, CLASSES, SWEEPS, WORD_BYTES = 32768, 2048, 64, 4, 64
+HEAD, CLUSTERED, CLASSES, SWEEPS, WORD_BYTES = 1 << 18, 2048, 64, 4, 64
 #: CLUSTERED and CLASSES are the least: the core grows with the square root of the distinct words, the classes with the cube root.
 #: Weight of a class's own share in the transitions from each class; the discount and entries of a partial count.
 ALPHA, ADD, PARTIAL = 2.0, 0.1, 400_000
@@ -63,39 +65,78 @@ def word_counts(training: DataFrame, text_col: str) -> DataFrame:
     return texts(training, text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def packed(batches, code_of):
-    """Record batches (code, n): what code_of gives for each batch, counted, sent whenever PARTIAL entries have come together."""
-    codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def head_cut(counts: DataFrame, words: int) -> int:
+    """The least count whose words, with all that are more frequent, number at most `words`; counts are binned eight to a power of two."""
+    found = counts.where(F.octet_length("word") <= WORD_BYTES).groupBy(F.floor(8 * F.log2("c")).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least"))
+    cut, total = 1 << 62, 0
+    for r in sorted(found.collect(), key=lambda r: -r["bin"]):  # at most 512 rows
+        total += r["n"]
+        if total > words:
+            break
+        cut = r["least"]
+    return cut
+
+
+def numbered(df: DataFrame, words: list[bytes], counts: np.ndarray, ends: int, text_col: str, id_col: str) -> DataFrame:
+    """_row, id, held_out, n_tokens, known and logs (of head words and the end), path (head words' numbers; -1, -2, ... for others) and rare (those others, with their numbers in the text) for each row."""
+    shared = df.sparkSession.sparkContext.broadcast((words, np.log10(counts + ADD)))  # the head
+    made: list = []
 
-    def out():
-        return pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "n": pa.array(n, pa.int64())})
+    def each(found, _):
+        if not made:
+            made.extend(({w: i for i, w in enumerate(shared.value[0])}, shared.value[1]))
+        number, log = made
+        rows = []
+        for t in found:
+            tokens = lower_words(t)
+            ids = list(map(number.get, tokens))
+            at: dict[bytes, int] = {}
+            if None in ids:
+                ids = [-1 - at.setdefault(w, len(at)) if i is None else i for i, w in zip(ids, tokens)]
+            path = np.array(ids, dtype=np.int32)
+            inside = path[path >= 0]
+            tf = np.bincount(-1 - path[path < 0], minlength=len(at)).tolist()
+            rows.append((len(ids) + 1, len(inside) + (ends > 0), float(log[inside].sum()) + math.log10(ends + ADD), path.tobytes(), [{"word": w, "tf": n} for w, n in zip(at, tf)]))
+        return rows
 
-    for part in batches:
-        new, c = np.unique(code_of(part), return_counts=True)
-        codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n, c]), len(codes)).astype(np.int64)
-        if len(codes) >= PARTIAL:
-            yield out()
-            codes, n = codes[:0], n[:0]
-    yield out()
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), held_out_column(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    return map_texts(rows, "text", ["_row", "id", "held_out"], "n_tokens long, known long, logs double, path binary, rare array<struct<word: binary, tf: long>>", each)
 
 
-def bigram_counts(training: DataFrame, text_col: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Numbers of a text's start and end in its path.
+START, END = 1 << 30, (1 << 30) + 1
+
+
+def joined_paths(batch) -> np.ndarray:
+    """The paths of a batch one after another, each with its start and end."""
+    out = []
+    for p in batch.column("path").to_pylist():
+        out += [(START,), np.frombuffer(p, np.int32), (END,)]
+    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+
+
+def bigram_counts(lines: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, next, n) of adjacent pairs among the core words (0 to k - 1), any other word (k), start (k + 1) and end (k + 2)."""
-    k = len(words)
     size = k + 3
-    shared = training.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-
-    def code_of(part):
-        get, ids = shared.value.get, []
-        for t in text_column(part):
-            ids.append(k + 1)
-            ids += [get(w, k) for w in lower_words(t)]
-            ids.append(k + 2)
-        a = np.array(ids, dtype=np.int64)
-        return (a[:-1] * size + a[1:])[a[:-1] != k + 2]
-
-    found = texts(training, text_col).mapInArrow(lambda batches: packed(slices(batches), code_of), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+
+    def run(batches):
+        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "n": pa.array(n, pa.int64())})
+
+        for batch in batches:
+            a = joined_paths(batch)
+            a = np.where(a >= START, a - START + k + 1, np.where((a >= 0) & (a < k), a, k))
+            new, c = np.unique((a[:-1] * size + a[1:])[a[:-1] != k + 2], return_counts=True)
+            codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, c]), len(codes)).astype(np.int64)
+            if len(codes) >= PARTIAL:
+                yield out()
+                codes, n = codes[:0], n[:0]
+        yield out()
+
+    found = lines.select("path").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
     code = found.column("code").to_numpy()
     return code // size, code % size, found.column("n").to_numpy().astype(float)
 
@@ -156,95 +197,173 @@ def exchange(first: np.ndarray, then: np.ndarray, n: np.ndarray, k: int, classes
     return own
 
 
-def neighbour_counts(training: DataFrame, text_col: str, core: dict[bytes, int], m: int) -> DataFrame:
-    """(word, slot, n) of all words that are not in the core: slot is the class of the nearest core word (or end) after it, or m + that before it."""
-    shared = training.sparkSession.sparkContext.broadcast(core)
+#: What stands beside a word: slot is the class of the nearest core word (or end) after it, or m + that before it.
+SLOTS = np.dtype([("slot", "<u2"), ("n", "<u8")])
+
+
+def neighbour_counts(lines: DataFrame, words: list[bytes], core: np.ndarray, m: int) -> DataFrame:
+    """(word, slots) of all words that are not in the core: counts by SLOTS, packed; a word comes once for every flush of a task."""
+    shared = lines.sparkSession.sparkContext.broadcast((words, core))  # the head, and the core's classes
 
     def run(batches):
-        get, seen, codes = shared.value.get, {}, []
+        names, own = shared.value
+        k, codes, seen = len(own), [], {}
 
         def out():
-            code, n = np.unique(np.concatenate(codes or [np.zeros(0, np.int64)]), return_counts=True)
-            words = pa.array(list(seen), pa.binary())
-            for at in range(0, len(code), 50_000):
-                c = code[at : at + 50_000]
-                yield pa.RecordBatch.from_pydict({"word": words.take(pa.array(c // (2 * m))), "slot": pa.array(c % (2 * m), pa.int32()), "n": pa.array(n[at : at + 50_000], pa.int64())})
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            word, slot = code // (2 * m), code % (2 * m)
+            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(code) else np.zeros(0, np.int64)
+            known = names + list(seen)
+            packed = np.empty(len(code), SLOTS)
+            packed["slot"], packed["n"] = slot, n
+            data, ends = packed.tobytes(), np.append(begin[1:], len(code)) * SLOTS.itemsize
+            for at in range(0, len(begin), 10_000):
+                part = range(at, min(at + 10_000, len(begin)))
+                blobs = [data[begin[i] * SLOTS.itemsize : ends[i]] for i in part]
+                yield pa.RecordBatch.from_pydict({"word": pa.array([known[w] for w in word[begin[part.start : part.stop]].tolist()], pa.binary()), "slots": pa.array(blobs, pa.binary())})
 
-        for part in slices(batches):
-            ids: list[int] = []
-            for t in text_column(part):
-                ids.append(m - 2)
-                ids += [c if (c := get(w)) is not None else -1 - seen.setdefault(w, len(seen)) for w in lower_words(t)]
-                ids.append(m - 1)
-            a = np.array(ids, dtype=np.int64)
-            at = np.arange(len(a))
-            rare = np.flatnonzero(a < 0)
-            if len(rare):
-                before = np.maximum.accumulate(np.where(a >= 0, at, 0))[rare]
-                after = np.minimum.accumulate(np.where(a >= 0, at, len(a) - 1)[::-1])[::-1][rare]
-                w = (-1 - a[rare]) * (2 * m)
-                codes += [w + a[after], w + m + a[before]]
+        for batch in batches:
+            a = joined_paths(batch)
+            # others than head words: numbers from the head's size up, by word
+            other = np.flatnonzero(a < 0)
+            if len(other):
+                rare = batch.column("rare").to_pylist()
+                size = np.array([len(r) for r in rare], dtype=np.int64)
+                of = np.cumsum(a == START)[other] - 1
+                given = np.array([seen.setdefault(x["word"], len(seen)) for r in rare for x in r], dtype=np.int64)
+                a[other] = len(names) + given[(np.cumsum(size) - size)[of] - 1 - a[other]]
+            inner = (a >= k) & (a < START)
+            klass = np.where(a >= START, a - START + m - 2, own[np.minimum(a, k - 1)] if k else 0)
+            at, where = np.arange(len(a)), np.flatnonzero(inner)
+            if len(where):
+                before = np.maximum.accumulate(np.where(inner, 0, at))[where]
+                after = np.minimum.accumulate(np.where(inner, len(a) - 1, at)[::-1])[::-1][where]
+                w = a[where] * (2 * m)
+                codes += [w + klass[after], w + m + klass[before]]
             if len(seen) >= PARTIAL or sum(map(len, codes)) >= 8 * PARTIAL:
                 yield from out()
                 seen.clear()
                 codes.clear()
-        yield from out()
-
-    sent = texts(training, text_col).mapInArrow(run, "word binary, slot int, n long")
-    return sent.repartition(F.col("word")).groupBy("word", "slot").agg(F.sum("n").alias("n"))
-
-
-def added_classes(slots: DataFrame, grid: np.ndarray, classes: int) -> DataFrame:
-    """(word, c, klass): the class that each word raises the likelihood most in, given its neighbours' classes."""
-    m = classes + 3
-    grid = grid.copy()
-    grid[classes], grid[:, classes] = 0, 0
-    shared = slots.sparkSession.sparkContext.broadcast(grid)
-    f = gains
+        if codes:
+            yield from out()
+
+    return lines.select("path", F.transform("rare", lambda x: F.struct(x["word"].alias("word"))).alias("rare")).mapInArrow(run, "word binary, slots binary")
+
+
+class NeighbourClasses:
+    """The class that most raises the likelihood, for words by their neighbours' classes; grid: the core's class bigrams."""
+
+    SMALL = 32
+
+    def __init__(self, grid: np.ndarray, classes: int):
+        self.classes, self.m = classes, classes + 3
+        grid = grid.copy()
+        grid[classes], grid[:, classes] = 0, 0
+        self.g = np.vstack([grid[:classes].T, grid[:, :classes]])  # of each slot: counts with each class
+        self.fg, self.row, self.col, self.cross = gains(self.g), grid.sum(1)[:classes], grid.sum(0)[:classes], grid[np.arange(classes), np.arange(classes)]
+        self.rise = np.stack([gains(self.g + x) - self.fg for x in range(self.SMALL + 1)])  # by count, slot and class
+        self.once = np.full(self.m * self.m, -1, dtype=np.int64)  # by the slots of words that occur once
+
+    def own(self, starts: np.ndarray, slot: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, class) of words, whose slots begin at starts, come in order, and count n."""
+        ends = np.append(starts[1:], len(slot))
+        of = np.repeat(np.arange(len(starts)), ends - starts)
+        total = np.bincount(of, np.where(slot < self.m, n, 0), len(starts)).astype(np.int64)  # one slot after and one before each occurrence
+        klass = np.empty(len(starts), np.int64)
+        single = np.flatnonzero((total == 1) & (ends - starts == 2))
+        sign = slot[starts[single]] * self.m + slot[starts[single] + 1] - self.m
+        first = np.unique(sign[self.once[sign] < 0], return_index=True)[0]
+        if len(first):
+            pairs = np.column_stack([first // self.m, first % self.m + self.m]).ravel()
+            self.once[first] = self.best(np.arange(len(first)) * 2, pairs, np.ones(len(pairs)), np.ones(len(first), np.int64))
+        klass[single] = self.once[sign]
+        more = np.ones(len(starts), bool)
+        more[single] = False
+        rest = np.flatnonzero(more)
+        if len(rest):
+            take = np.flatnonzero(more[of])
+            sizes = (ends - starts)[rest]
+            klass[rest] = self.best(np.cumsum(sizes) - sizes, slot[take], n[take], total[rest])
+        return total, klass
+
+    def best(self, starts: np.ndarray, slot: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+        out, f, m = np.empty(len(starts), np.int64), gains, self.m
+        for a in range(0, len(starts), 512):
+            b = min(a + 512, len(starts))
+            p, q = starts[a], starts[b] if b < len(starts) else len(slot)
+            s, x = slot[p:q], n[p:q].astype(float)
+            o = np.repeat(np.arange(b - a), np.diff(np.append(starts[a:b], q)))
+            rise = self.rise[np.minimum(x, self.SMALL).astype(np.int64), s]
+            if len(large := np.flatnonzero(x > self.SMALL)):
+                rise[large] = f(self.g[s[large]] + x[large][:, None]) - self.fg[s[large]]
+            gain = np.add.reduceat(rise, starts[a:b] - p, axis=0)
+            r, l = np.zeros((b - a, m)), np.zeros((b - a, m))
+            after = s < m
+            r[o[after], s[after]] = x[after]
+            l[o[~after], s[~after] - m] = x[~after]
+            r, l = r[:, : self.classes], l[:, : self.classes]
+            k = np.nonzero((r > 0) & (l > 0))
+            y = self.cross[k[1]]
+            gain[k] += f(y + r[k] + l[k]) - f(y + r[k]) - f(y + l[k]) + f(y)
+            kinds, which = np.unique(total[a:b], return_inverse=True)
+            t = kinds[:, None]
+            gain -= (f(self.row + t) - f(self.row) + f(self.col + t) - f(self.col))[which]
+            gain[:, self.row + self.col == 0] = -np.inf  # a class without core words would take in words of all kinds at once
+            out[a:b] = gain.argmax(1)
+        return out
+
+
+def added_classes(sent: DataFrame, grid: np.ndarray, classes: int) -> DataFrame:
+    """(word, c, klass): the class that each word raises the likelihood most in, given its neighbours' classes.
+
+    A word's packed counts come one after another in a sorted partition and are added up as they come.
+    """
+    shared = sent.sparkSession.sparkContext.broadcast(grid)  # class by class
 
     def run(batches):
-        grid = shared.value
-        g = np.vstack([grid[:classes].T, grid[:, :classes]])  # of each slot: counts with each class
-        fg, row, col, d = f(g), grid.sum(1)[:classes], grid.sum(0)[:classes], np.arange(classes)
-        cross = grid[d, d]
+        model = NeighbourClasses(shared.value, classes)
+        slots = 2 * model.m
+        words, blobs = [], []
+
+        def settle(last: bool):
+            """Classes of the words that have come, but of the last one's only at the end; its counts stay, added up."""
+            new = np.concatenate([[True], np.array([a != b for a, b in zip(words, words[1:])], dtype=bool)])
+            index = np.cumsum(new) - 1
+            flat = np.frombuffer(b"".join(blobs), SLOTS)
+            of = np.repeat(index, [len(x) // SLOTS.itemsize for x in blobs])
+            code, at = np.unique(of * slots + flat["slot"], return_inverse=True)
+            n = np.bincount(at, flat["n"], len(code)).astype(np.int64)
+            of, slot = code // slots, code % slots
+            names = [words[i] for i in np.flatnonzero(new).tolist()]
+            done = len(names) - (not last)
+            if not last:
+                mine = of == done
+                kept = np.empty(int(mine.sum()), SLOTS)
+                kept["slot"], kept["n"] = slot[mine], n[mine]
+                words[:], blobs[:] = names[-1:], [kept.tobytes()]
+                of, slot, n = of[~mine], slot[~mine], n[~mine]
+            if done:
+                total, klass = model.own(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), slot, n)
+                yield pa.RecordBatch.from_pydict({"word": pa.array(names[:done], pa.binary()), "c": pa.array(total, pa.int64()), "klass": pa.array(klass, pa.int32())})
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column("slots")
-            starts, flat = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), lists.flatten()
-            slot, n = flat.field("slot").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float)
-            of = np.repeat(np.arange(len(starts)), np.diff(lists.offsets.to_numpy()))
-            total = np.bincount(of[slot < m], n[slot < m], len(starts))[:, None]  # one slot after and one before each occurrence
-            klass = np.empty(len(starts), np.int64)
-            for a in range(0, len(starts), 256):
-                b = min(a + 256, len(starts))
-                p, q = starts[a], starts[b] if b < len(starts) else len(slot)
-                s, x, o = slot[p:q], n[p:q], of[p:q] - a
-                gain = np.add.reduceat(f(g[s] + x[:, None]) - fg[s], starts[a:b] - p, axis=0)
-                r, l = np.zeros((b - a, m)), np.zeros((b - a, m))
-                r[o[s < m], s[s < m]] = x[s < m]
-                l[o[s >= m], s[s >= m] - m] = x[s >= m]
-                r, l = r[:, :classes], l[:, :classes]
-                both = (r > 0) & (l > 0)
-                k = np.nonzero(both)
-                y = cross[k[1]]
-                gain[k] += f(y + r[k] + l[k]) - f(y + r[k]) - f(y + l[k]) + f(y)
-                gain -= f(row + total[a:b]) - f(row) + f(col + total[a:b]) - f(col)
-                gain[:, row + col == 0] = -np.inf  # a class without core words would take in words of all kinds at once
-                klass[a:b] = gain.argmax(1)
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": pa.array(total[:, 0].astype(np.int64)), "klass": pa.array(klass, pa.int32())})
-
-    lists = slots.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("slots"))  # at most 2 * m a word
-    return lists.mapInArrow(run, "word binary, c long, klass int")
+            words += batch.column("word").to_pylist()
+            blobs += batch.column("slots").to_pylist()
+            if len(words) >= 10_000:
+                yield from settle(False)
+        if words:
+            yield from settle(True)
+
+    return sent.repartition(F.col("word")).sortWithinPartitions("word").mapInArrow(run, "word binary, c long, klass int")
 
 
 class ClassModel:
     """Counts and classes of the head, and log10 factors: score = sum of log10(c + 0.1) + sum of factor[previous class, class]."""
 
-    def __init__(self, head: list, classes: int, total: int, distinct: int, ends: int):
+    def __init__(self, classes: int, total: int, distinct: int, ends: int):
         self.total, self.distinct, self.ends, self.classes = total, distinct, ends, classes
-        self.counts = {bytes(w): c for w, c, _ in head}
-        self.klass = {bytes(w): k for w, _, k in head}
+        self.counts: dict[bytes, int] = {}
+        self.klass: dict[bytes, int] = {}
         self.open, self.start, self.end = classes, classes + 1, classes + 2
         self.log_mass = math.log10(total + ADD * (distinct + 1))
 
@@ -263,55 +382,48 @@ class ClassModel:
             self.factor = np.where(mass > 0, np.log10(np.maximum(transition, 1e-300)) - np.log10(np.maximum(mass, 1e-300)), -self.log_mass)
 
 
-def paths(df: DataFrame, model: ClassModel, table: DataFrame, scratch: Scratch, text_col: str, id_col: str) -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, logs and the classes of all tokens from start to end (path), for each row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # the head, and no factors yet
-
-    def each(found, batch):
-        m = shared.value
-        count, klass = m.counts.get, m.klass.get
-        rows = []
-        for t in found:
-            words = lower_words(t)
-            known, logs, rare = 0, 0.0, {}
-            for w, n in Counter(words).items():
-                c = count(w)
-                if c is None:
-                    rare[w] = n
-                else:
-                    known += n
-                    logs += n * math.log10(c + ADD)
-            known += m.ends > 0
-            logs += math.log10(m.ends + ADD)
-            at = {w: -1 - i for i, w in enumerate(rare)}
-            path = np.array([m.start, *[klass(w) if w not in at else at[w] for w in words], m.end], np.int16 if len(rare) < 32_000 else np.int32)
-            rows.append((len(words) + 1, known, logs, path.tobytes(), [{"word": w, "tf": n} for w, n in rare.items()]))
-        return rows
-
-    numbered = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), held_out_column(id_col).alias("held_out"), F.col(text_col))
-    lines = scratch.write(map_texts(numbered, text_col, ["_row", id_col, "held_out"], "n_tokens long, known long, logs double, path binary, rare array<struct<word: binary, tf: long>>", each))
+def settled_paths(lines: DataFrame, words: list[bytes], model: ClassModel, table: DataFrame) -> DataFrame:
+    """id, held_out, n_tokens, n_known, logs and the classes of all tokens from start to end (path), for each row of numbered()."""
     rare = lines.select("_row", F.posexplode("rare").alias("i", "x")).select("_row", "i", "x.word", "x.tf").join(table, "word", "left")
     c = F.coalesce("c", F.lit(0))
     tails = rare.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("klass", F.lit(model.open)).alias("klass")))).alias("found"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * F.log10(c + F.lit(ADD))).alias("tail"))
     zero = lambda x: F.coalesce(x, F.lit(0))
-    whole = lines.drop("rare").join(tails, "_row", "left").select(F.col(id_col).alias("id"), "held_out", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), (F.col("logs") + zero("tail")).alias("logs"), "path", F.col("found.klass").alias("found"))
+    whole = lines.drop("rare").join(tails, "_row", "left").select("id", "held_out", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), (F.col("logs") + zero("tail")).alias("logs"), "path", F.col("found.klass").alias("found"))
     schema = whole.drop("found").schema
     arrow = to_arrow_schema(schema)
+    own = np.array([model.klass.get(w, model.open) for w in words] or [model.open], dtype=np.int16)
+    shared = lines.sparkSession.sparkContext.broadcast(own)  # the head
 
-    def settled(batches):
+    def run(batches):
         for b in batches:
             out = []
-            for n, path, found in zip(b.column("n_tokens").to_pylist(), b.column("path").to_pylist(), b.column("found")):
-                a = np.frombuffer(path, np.int16 if len(path) == 2 * (n + 1) else np.int32).astype(np.int64)
+            for path, found in zip(b.column("path").to_pylist(), b.column("found")):
+                a = np.frombuffer(path, np.int32)
+                k = shared.value[np.maximum(a, 0)]
                 if found.is_valid:
-                    k = found.values.to_numpy()
-                    a = np.where(a < 0, k[np.where(a < 0, -1 - a, 0)], a)
-                out.append(a.astype(np.int16).tobytes())
+                    rare = np.flatnonzero(a < 0)
+                    k[rare] = found.values.to_numpy()[-1 - a[rare]]
+                out.append(np.concatenate([[model.start], k, [model.end]]).astype(np.int16).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) if f.name != "path" else pa.array(out, f.type) for f in arrow], schema=arrow)
 
-    settled_rows = scratch.write(whole.mapInArrow(settled, schema))
-    scratch.drop(lines)
-    return settled_rows
+    return whole.mapInArrow(run, schema)
+
+
+def class_bigrams(rows: DataFrame, m: int) -> np.ndarray:
+    """How often each class follows each in the rows' paths; at most m ** 2 rows a task leave it."""
+
+    def run(batches):
+        total = np.zeros(m * m, np.int64)
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("path").to_pylist()), np.int16).astype(np.int64)
+            total += np.bincount((x[:-1] * m + x[1:])[x[:-1] != m - 1], minlength=m * m)  # no class follows an end
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"code": pa.array(code, pa.int64()), "n": pa.array(total[code], pa.int64())})
+
+    found = rows.select("path").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(m * m)
+    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(m, m)
 
 
 def fit(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> tuple[ClassModel, DataFrame, DataFrame]:
@@ -322,30 +434,29 @@ def fit(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "
     ends = training.count()
     k, classes = max(CLUSTERED, math.isqrt(found["v"])), max(CLASSES, round(found["v"] ** (1 / 3)))
     m = classes + 3
-    frequent = lambda t, n: t.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(n).collect()
-    core = [(bytes(r["word"]), r["c"]) for r in frequent(counts, k)]
+    cut = head_cut(counts, max(HEAD, k))
+    head = sorted(((-c, bytes(w)) for w, c in counts.where((F.col("c") >= cut) & (F.octet_length("word") <= WORD_BYTES)).select("word", "c").toArrow().to_pandas().itertuples(index=False)))
     scratch.drop(counts)
-    first, then, n = bigram_counts(training, text_col, [w for w, _ in core])
-    own = exchange(first, then, n, len(core), classes)
+    words = [w for _, w in head]
+    lines = scratch.write(numbered(df, words, np.array([-c for c, _ in head], dtype=float), ends, text_col, id_col))
+    train_lines = lines.where("not held_out")
+    k = min(k, len(words))
+    first, then, n = bigram_counts(train_lines, k)
+    own = exchange(first, then, n, k, classes)
     grid = np.zeros((m, m))
     np.add.at(grid, (own[first], own[then]), n)
-    classed = df.sparkSession.createDataFrame([(bytearray(w), c, int(own[i])) for i, (w, c) in enumerate(core)], "word binary, c long, klass int")
-    slots = neighbour_counts(training, text_col, {w: int(own[i]) for i, (w, _) in enumerate(core)}, m)
-    table = scratch.write(added_classes(slots, grid, classes).unionByName(classed))
-    head = [(r["word"], r["c"], r["klass"]) for r in frequent(table, max(HEAD, k))]
-    model = ClassModel(head, classes, found["n"] + ends, found["v"] + bool(ends), ends)
-    rows = paths(df, model, table, scratch, text_col, id_col)
-
-    def code_of(batch):
-        a = [np.frombuffer(p, np.int16).astype(np.int64) for p in batch.column("path").to_pylist()]
-        return np.concatenate([x[:-1] * m + x[1:] for x in a] or [np.zeros(0, np.int64)])
-
-    pairs = rows.where("not held_out").select("path").mapInArrow(lambda batches: packed(batches, code_of), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most m ** 2 rows
-    whole, mass = np.zeros(m * m), np.zeros(m)
-    whole[pairs.column("code").to_numpy()] = pairs.column("n").to_numpy()
+    classed = df.sparkSession.createDataFrame([(bytearray(w), -c, int(own[i])) for i, (c, w) in enumerate(head[:k])], "word binary, c long, klass int")
+    table = scratch.write(added_classes(neighbour_counts(train_lines, words, own[:k], m), grid, classes).unionByName(classed))
+    model = ClassModel(classes, found["n"] + ends, found["v"] + bool(ends), ends)
+    model.counts = {w: -c for c, w in head}
+    known = table.where((F.col("c") >= cut) & (F.octet_length("word") <= WORD_BYTES)).select("word", "klass").toArrow()  # the head
+    model.klass = dict(zip(map(bytes, known.column("word").to_pylist()), known.column("klass").to_pylist()))
+    rows = scratch.write(settled_paths(lines, words, model, table))
+    scratch.drop(lines)
+    mass = np.zeros(m)
     for r in table.groupBy("klass").agg((F.sum("c") + F.lit(ADD) * F.count("*")).alias("x")).collect():
         mass[r["klass"]] = r["x"]
-    model.settle(whole.reshape(m, m), mass)
+    model.settle(class_bigrams(rows.where("not held_out"), m), mass)
     return model, table, rows
 
 

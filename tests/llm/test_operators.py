@@ -418,6 +418,48 @@ def test_class_model_sums_to_one_and_beats_the_base(spark):
     assert held.s > held.b * 0.85
 
 
+def test_class_model_by_plain_counts(spark, monkeypatch):
+    """Scores from the words' classes by plain counting of classes, with most words outside the head."""
+    import math
+
+    monkeypatch.setattr(class_lm, "HEAD", 20)
+    monkeypatch.setattr(class_lm, "CLUSTERED", 12)
+    monkeypatch.setattr(class_lm, "CLASSES", 5)
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("aeiou") + str(min(rng.randrange(60), rng.randrange(60))) for _ in range(rng.randrange(40))) for _ in range(150)] + [None, "new words only", "x" * 100 + " a1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model, table = class_lm.train(df, Scratch(spark))
+    known = {bytes(r["word"]): (r["c"], r["klass"]) for r in table.collect()}
+    split = lambda t: raw(t).lower().split()
+    train = [split(t) for i, t in enumerate(texts) if not class_lm.is_held_out(i)]
+    assert {w: c for w, (c, _) in known.items()} == Counter(w for t in train for w in t)
+    klass = lambda w: known[w][1] if w in known else "open"
+    pairs, size, ends = Counter(), Counter({"end": len(train) + 0.1}), len(train)
+    for t in train:
+        path = ["start", *map(klass, t), "end"]
+        pairs.update(zip(path, path[1:]))
+    for c, k in known.values():
+        size[k] += c + 0.1
+    first, mass = Counter(), sum(size.values())
+    for (a, _), n in pairs.items():
+        first[a] += n
+    unseen = 0.1 / (mass + 0.1)
+
+    def log(t):
+        total, before = 0.0, "start"
+        for w in [*split(t), None]:
+            k = "end" if w is None else klass(w)
+            if k == "open":
+                total += math.log10(unseen)
+            else:
+                total += math.log10((1 - unseen) * (pairs[before, k] + 2.0 * size[k] / mass) / (first[before] + 2.0) * ((ends if w is None else known[w][0]) + 0.1) / size[k])
+            before = k
+        return total
+
+    found = {r.doc_id: r.score for r in class_lm.score(df, Scratch(spark)).collect()}
+    assert all(abs(found[i] - log(t)) < 1e-6 for i, t in enumerate(texts)) and len(found) == len(texts)
+
+
 def test_class_model_gives_rare_words_classes(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "CLUSTERED", 60)
     monkeypatch.setattr(class_lm, "HEAD", 70)
