@@ -21,15 +21,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import Scratch, lower_words, map_texts, slices, text_column, texts
+from .common import Scratch, binaries, bound_batches, gathered, slices, texts, word_lists
 
 HEAD, CLUSTERED, CLASSES, SWEEPS, WORD_BYTES = 1 << 18, 2048, 64, 4, 64
 #: CLUSTERED and CLASSES are the least: the core grows with the square root of the distinct words, the classes with the cube root.
@@ -49,18 +50,25 @@ def word_counts(training: DataFrame, text_col: str) -> DataFrame:
     """(word, c) over all training texts; each task sends a word once for every PARTIAL entries of its table."""
 
     def run(batches):
-        seen = Counter()
+        held, rows = [], 0
 
-        def out():
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+        def combined():
+            t = pa.TableGroupBy(pa.concat_tables(held), "word", use_threads=False).aggregate([("n", "sum")])
+            return t.rename_columns(["word" if c == "word" else "n" for c in t.column_names]).select(["word", "n"])
 
         for part in slices(batches):
-            for t in text_column(part):
-                seen.update(lower_words(t))
-            if len(seen) >= PARTIAL:
-                yield out()
-                seen.clear()
-        yield out()
+            found = pc.value_counts(word_lists(part)[0])
+            held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+            rows += len(found)
+            if rows >= 3 * PARTIAL:
+                held = [combined()]
+                rows = held[0].num_rows
+                if rows >= PARTIAL:
+                    yield from held[0].to_batches(max_chunksize=50_000)
+                    held, rows = [], 0
+                pa.default_memory_pool().release_unused()
+        if held:
+            yield from combined().to_batches(max_chunksize=50_000)
 
     return texts(training, text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -78,29 +86,36 @@ def head_cut(counts: DataFrame, words: int) -> int:
 
 
 def numbered(df: DataFrame, words: list[bytes], counts: np.ndarray, ends: int, text_col: str, id_col: str) -> DataFrame:
-    """_row, id, held_out, n_tokens, known and logs (of head words and the end), path (head words' numbers; -1, -2, ... for others) and rare (those others, with their numbers in the text) for each row."""
-    shared = df.sparkSession.sparkContext.broadcast((words, np.log10(counts + ADD)))  # the head
-    made: list = []
-
-    def each(found, _):
-        if not made:
-            made.extend(({w: i for i, w in enumerate(shared.value[0])}, shared.value[1]))
-        number, log = made
-        rows = []
-        for t in found:
-            tokens = lower_words(t)
-            ids = list(map(number.get, tokens))
-            at: dict[bytes, int] = {}
-            if None in ids:
-                ids = [-1 - at.setdefault(w, len(at)) if i is None else i for i, w in zip(ids, tokens)]
-            path = np.array(ids, dtype=np.int32)
-            inside = path[path >= 0]
-            tf = np.bincount(-1 - path[path < 0], minlength=len(at)).tolist()
-            rows.append((len(ids) + 1, len(inside) + (ends > 0), float(log[inside].sum()) + math.log10(ends + ADD), path.tobytes(), [{"word": w, "tf": n} for w, n in zip(at, tf)]))
-        return rows
-
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), held_out_column(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return map_texts(rows, "text", ["_row", "id", "held_out"], "n_tokens long, known long, logs double, path binary, rare array<struct<word: binary, tf: long>>", each)
+    """For each row _row, id, held_out, n_tokens, known and logs (of head words and the end), path and rare.
+
+    path: head words' numbers, and -1, -2, ... for other words, which stand in rare with their numbers in the text.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((pa.array(words, pa.binary()), np.log10(counts + ADD)))  # the head
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), held_out_column(id_col).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text"))
+    schema = StructType([*rows.schema.fields[:3], *StructType.fromDDL("n_tokens long, known long, logs double, path binary, rare array<struct<word: binary, tf: long>>").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        head, log = shared.value
+        for part in gathered(batches, 4 << 20):
+            n = part.num_rows
+            found, begin = word_lists(part)
+            ids = pc.fill_null(pc.index_in(found, value_set=head), -1).to_numpy().copy()
+            row = np.repeat(np.arange(n), np.diff(begin))
+            inside, other = ids >= 0, np.flatnonzero(ids < 0)
+            known = np.bincount(row[inside], minlength=n) + (ends > 0)
+            logs = np.bincount(row[inside], log[ids[inside]], n) + math.log10(ends + ADD)
+            rare = found.take(pa.array(other)).dictionary_encode()
+            size = max(1, len(rare.dictionary))
+            pair, at, tf = np.unique(row[other] * size + rare.indices.to_numpy(), return_inverse=True, return_counts=True)
+            cuts = np.searchsorted(pair, np.arange(n + 1) * size)
+            ids[other] = cuts[row[other]] - 1 - at
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([rare.dictionary.take(pa.array(pair % size)), pa.array(tf, pa.int64())], names=["word", "tf"]))
+            cols = [pa.array(np.diff(begin) + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), binaries(ids.astype(np.int32), begin), lists]
+            yield pa.RecordBatch.from_arrays([*[part.column(i).cast(arrow.field(i).type) for i in range(3)], *[c.cast(arrow.field(3 + i).type) for i, c in enumerate(cols)]], schema=arrow)
+
+    bound_batches(df.sparkSession)
+    return rows.mapInArrow(run, schema)
 
 
 #: Numbers of a text's start and end in its path.
@@ -203,49 +218,51 @@ SLOTS = np.dtype([("slot", "<u2"), ("n", "<u8")])
 
 def neighbour_counts(lines: DataFrame, words: list[bytes], core: np.ndarray, m: int) -> DataFrame:
     """(word, slots) of all words that are not in the core: counts by SLOTS, packed; a word comes once for every flush of a task."""
-    shared = lines.sparkSession.sparkContext.broadcast((words, core))  # the head, and the core's classes
+    shared = lines.sparkSession.sparkContext.broadcast((pa.array(words, pa.binary()), core))  # the head, and the core's classes
 
     def run(batches):
-        names, own = shared.value
-        k, codes, seen = len(own), [], {}
+        head, own = shared.value
+        k, size = len(own), len(head)
+        word, slot, rare, n_rare = [], [], [], 0  # numbers from the head's size up stand for entries of rare
 
         def out():
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            word, slot = code // (2 * m), code % (2 * m)
-            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(code) else np.zeros(0, np.int64)
-            known = names + list(seen)
+            found = pa.concat_arrays([r.cast(pa.binary()) for r in rare] or [pa.array([], pa.binary())]).dictionary_encode()
+            w = np.concatenate(word).astype(np.int64)
+            word.clear()
+            beyond = np.flatnonzero(w >= size)
+            w[beyond] = size + found.indices.to_numpy()[w[beyond] - size]
+            code, n = np.unique(w * (2 * m) + np.concatenate(slot), return_counts=True)
+            w = code // (2 * m)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])), len(code))
             packed = np.empty(len(code), SLOTS)
-            packed["slot"], packed["n"] = slot, n
-            data, ends = packed.tobytes(), np.append(begin[1:], len(code)) * SLOTS.itemsize
-            for at in range(0, len(begin), 10_000):
-                part = range(at, min(at + 10_000, len(begin)))
-                blobs = [data[begin[i] * SLOTS.itemsize : ends[i]] for i in part]
-                yield pa.RecordBatch.from_pydict({"word": pa.array([known[w] for w in word[begin[part.start : part.stop]].tolist()], pa.binary()), "slots": pa.array(blobs, pa.binary())})
+            packed["slot"], packed["n"] = code % (2 * m), n
+            names = pa.concat_arrays([head, found.dictionary]).take(pa.array(w[cuts[:-1]]))
+            yield from pa.table({"word": names, "slots": binaries(packed, cuts)}).to_batches(max_chunksize=20_000)
 
         for batch in batches:
             a = joined_paths(batch)
-            # others than head words: numbers from the head's size up, by word
             other = np.flatnonzero(a < 0)
             if len(other):
-                rare = batch.column("rare").to_pylist()
-                size = np.array([len(r) for r in rare], dtype=np.int64)
-                of = np.cumsum(a == START)[other] - 1
-                given = np.array([seen.setdefault(x["word"], len(seen)) for r in rare for x in r], dtype=np.int64)
-                a[other] = len(names) + given[(np.cumsum(size) - size)[of] - 1 - a[other]]
+                lists = batch.column("rare")
+                begin = lists.offsets.to_numpy()
+                a[other] = size + n_rare + (begin - begin[0])[np.cumsum(a == START)[other] - 1] - 1 - a[other]
+                rare.append(lists.flatten().field("word"))
+                n_rare += len(rare[-1])
             inner = (a >= k) & (a < START)
             klass = np.where(a >= START, a - START + m - 2, own[np.minimum(a, k - 1)] if k else 0)
             at, where = np.arange(len(a)), np.flatnonzero(inner)
             if len(where):
                 before = np.maximum.accumulate(np.where(inner, 0, at))[where]
                 after = np.minimum.accumulate(np.where(inner, len(a) - 1, at)[::-1])[::-1][where]
-                w = a[where] * (2 * m)
-                codes += [w + klass[after], w + m + klass[before]]
-            if len(seen) >= PARTIAL or sum(map(len, codes)) >= 8 * PARTIAL:
+                word += [a[where].astype(np.int32)] * 2
+                slot += [klass[after].astype(np.uint16), (m + klass[before]).astype(np.uint16)]
+            if n_rare >= PARTIAL or sum(map(len, word)) >= 4 * PARTIAL:
                 yield from out()
-                seen.clear()
-                codes.clear()
-        if codes:
+                word, slot, rare, n_rare = [], [], [], 0
+                pa.default_memory_pool().release_unused()
+        if word:
             yield from out()
+            pa.default_memory_pool().release_unused()
 
     return lines.select("path", F.transform("rare", lambda x: F.struct(x["word"].alias("word"))).alias("rare")).mapInArrow(run, "word binary, slots binary")
 
@@ -323,35 +340,39 @@ def added_classes(sent: DataFrame, grid: np.ndarray, classes: int) -> DataFrame:
     def run(batches):
         model = NeighbourClasses(shared.value, classes)
         slots = 2 * model.m
-        words, blobs = [], []
+        held, rows = [], 0
 
         def settle(last: bool):
             """Classes of the words that have come, but of the last one's only at the end; its counts stay, added up."""
-            new = np.concatenate([[True], np.array([a != b for a, b in zip(words, words[1:])], dtype=bool)])
-            index = np.cumsum(new) - 1
-            flat = np.frombuffer(b"".join(blobs), SLOTS)
-            of = np.repeat(index, [len(x) // SLOTS.itemsize for x in blobs])
+            nonlocal held, rows
+            words = pa.concat_arrays([h.column("word").cast(pa.binary()) for h in held])
+            blobs = pa.concat_arrays([h.column("slots").cast(pa.binary()) for h in held])
+            new = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)])
+            cuts = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1)
+            flat = np.frombuffer(blobs.buffers()[2], np.uint8)[cuts[0] : cuts[-1]].view(SLOTS)
+            of = np.repeat(np.cumsum(new) - 1, np.diff(cuts) // SLOTS.itemsize)
             code, at = np.unique(of * slots + flat["slot"], return_inverse=True)
             n = np.bincount(at, flat["n"], len(code)).astype(np.int64)
             of, slot = code // slots, code % slots
-            names = [words[i] for i in np.flatnonzero(new).tolist()]
+            names = words.take(pa.array(np.flatnonzero(new)))
             done = len(names) - (not last)
+            held, rows = [], 0
             if not last:
                 mine = of == done
                 kept = np.empty(int(mine.sum()), SLOTS)
                 kept["slot"], kept["n"] = slot[mine], n[mine]
-                words[:], blobs[:] = names[-1:], [kept.tobytes()]
+                held, rows = [pa.RecordBatch.from_pydict({"word": names.slice(done), "slots": pa.array([kept.tobytes()], pa.binary())})], 1
                 of, slot, n = of[~mine], slot[~mine], n[~mine]
             if done:
                 total, klass = model.own(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), slot, n)
-                yield pa.RecordBatch.from_pydict({"word": pa.array(names[:done], pa.binary()), "c": pa.array(total, pa.int64()), "klass": pa.array(klass, pa.int32())})
+                yield pa.RecordBatch.from_pydict({"word": names.slice(0, done), "c": pa.array(total, pa.int64()), "klass": pa.array(klass, pa.int32())})
 
         for batch in batches:
-            words += batch.column("word").to_pylist()
-            blobs += batch.column("slots").to_pylist()
-            if len(words) >= 10_000:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 10_000:
                 yield from settle(False)
-        if words:
+        if rows:
             yield from settle(True)
 
     return sent.repartition(F.col("word")).sortWithinPartitions("word").mapInArrow(run, "word binary, c long, klass int")

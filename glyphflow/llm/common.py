@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -132,6 +133,41 @@ def slices(batches, rows: int = BATCH_ROWS, size: int = 8 << 20):
             at = end
 
 
+def gathered(batches, size: int = 8 << 20):
+    """Arrow batches put together to about the given bytes of _text."""
+    held, total = [], 0
+    for batch in slices(batches, size=size):
+        held.append(batch)
+        total += batch.column("_text").nbytes
+        if total >= size:
+            yield whole(held)
+            held, total = [], 0
+    if held:
+        yield whole(held)
+
+
+def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+def word_lists(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """lower_words() of all rows' _text one after another, as an Arrow array of bytes, and where each row's begin (and the last end)."""
+    col = batch.column("_text").cast(pa.binary())
+    text = pa.Array.from_buffers(pa.string(), len(col), col.buffers(), offset=col.offset)  # ASCII kernels take any bytes
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    offsets = lists.offsets.to_numpy()
+    found = flat.filter(full)
+    return pa.Array.from_buffers(pa.binary(), len(found), found.buffers(), offset=found.offset), before[offsets - offsets[0]]
+
+
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """An Arrow array of bytes: data cut at ends, which begin with 0 and count its elements."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with columns c0, c1, ..., and their names by the old ones, so that no column clashes with an operator's own."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), {c: f"c{i}" for i, c in enumerate(df.columns)}
