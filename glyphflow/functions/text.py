@@ -99,9 +99,9 @@ def numbered_prompt(lines: Column) -> Column:
 
 
 def numbered_reply(reply: Column, n: Column) -> Column:
-    """The first n lines of a numbered answer, without their numbers."""
-    lines = F.filter(F.split(reply, "\n"), lambda x: F.trim(x) != "")
-    return F.slice(F.transform(lines, lambda x: F.when(F.instr(x, ". ") > 0, F.substring_index(x, ". ", -1)).otherwise(x)), F.lit(1), n)
+    """The first n lines of a numbered answer; of each, what follows its first ". ", if there is one. Blank lines count."""
+    lines = F.transform(F.split(strip(reply), "\n"), lambda x: F.regexp_replace(x, "^(?s:.*?)\\. ", ""))
+    return F.slice(lines, F.lit(1), n)
 
 
 def drop_sound(area: Column, t: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
-from pyspark.sql.window import Window as W
 
 IN_FLIGHT, ATTEMPTS, BASE_MS = 3, 3, 1000
 
@@ -27,38 +26,42 @@ def memoised(rows: DataFrame, key: str, compute, cached: DataFrame) -> DataFrame
 
 
 def first_in_flight(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first request of each key."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    """The first request of each key; combined before the shuffle, so a hot key is one row a task."""
+    fields = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*fields), F.col(order)).alias("r")).select(*[key if c == key else F.col(f"r.{c}") for c in rows.columns])
 
 
-def admitted(rows: DataFrame, key: str, start: str, hold_s: int, limit: int = IN_FLIGHT, order: str | None = None) -> DataFrame:
+def admitted(rows: DataFrame, key: str, start: str, hold_s: int, limit: int = IN_FLIGHT, order: str | None = None, identity: str | None = None) -> DataFrame:
     """Requests that find fewer than `limit` admitted ones of their key still running; each admitted one runs for hold_s seconds.
 
-    Rejected requests take no place. A key's requests are taken by time, those of equal time by `order`, in one pass whose
-    state is the end times of the running ones. A request without a time finds none running and takes no place.
+    With `identity`, a request for what is running already is rejected too. Rejected requests take no place. A key's
+    requests are taken by time, those of equal time by `order`, in one pass whose state is the running ones' end times and
+    identities. A request without a time finds none running and takes no place.
     """
     at = F.unix_micros(F.col(start).cast("timestamp"))
     schema = StructType([*rows.schema.fields, StructField("running", LongType()), StructField("admitted", BooleanType())])
     arrow, width = to_arrow_schema(schema), len(rows.columns)
 
     def run(batches):
-        now, ends = None, []  # at most `limit` end times
+        now, ends = None, []  # at most `limit` (end time, identity)
         for batch in batches:
-            running = []
-            for k, t in zip(batch.column("_key").to_pylist(), batch.column("_at").to_pylist()):
+            running, taken = [], []
+            for k, t, own in zip(batch.column("_key").to_pylist(), batch.column("_at").to_pylist(), batch.column("_own").to_pylist()):
                 if (k,) != now:
                     now, ends = (k,), []
                 if t is None:
                     running.append(0)
+                    taken.append(True)
                     continue
-                ends = [e for e in ends if e > t]
+                ends = [e for e in ends if e[0] > t]
                 running.append(len(ends))
-                if len(ends) < limit:
-                    ends.append(t + hold_s * 1_000_000)
+                taken.append(len(ends) < limit and (own is None or all(own != x for _, x in ends)))
+                if taken[-1]:
+                    ends.append((t + hold_s * 1_000_000, own))
             out = [batch.column(i).cast(arrow.field(i).type) for i in range(width)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(running, pa.int64()), pa.array([n < limit for n in running])], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*out, pa.array(running, pa.int64()), pa.array(taken, pa.bool_())], schema=arrow)
 
-    named = rows.withColumn("_key", F.col(key)).withColumn("_at", at)
+    named = rows.withColumns({"_key": F.col(key), "_at": at, "_own": F.col(identity).cast("string") if identity else F.lit(None).cast("string")})
     dealt = named.repartition(F.col("_key")).sortWithinPartitions("_key", "_at", *([order] if order else []))
     return dealt.mapInArrow(run, schema)
 
@@ -132,6 +135,11 @@ def strip_data_uri(t: Column) -> Column:
     return F.when(F.startswith(t, F.lit("data:image")) & (F.instr(t, ",") > 0), F.regexp_replace(t, "^[^,]*,", "")).otherwise(t)
 
 
+def encoded(content: Column) -> Column:
+    """Base64 in one line; Spark's own has line breaks."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+
+
 def base64_mb(t: Column) -> Column:
     return F.length(t).cast("double") * 3 / 4 / (1024 * 1024)
 

@@ -22,13 +22,19 @@ def visible(left: Column, top: Column, w: Column, h: Column) -> Column:
 
 
 def candidates(elements: DataFrame) -> DataFrame:
-    """The three scans one after another, each in element order: images (visible ones only), canvases, backgrounds."""
+    """The three scans one after another, each in element order: images, canvases, backgrounds; visible ones only."""
     c = F.col
-    ok = large(c("kind"), c("complete"), c("width"), c("height")) & ((c("kind") != "img") | visible(c("left_px"), c("top_px"), c("width"), c("height")))
+    ok = large(c("kind"), c("complete"), c("width"), c("height")) & visible(c("left_px"), c("top_px"), c("width"), c("height"))
     scans = [elements.where((c("kind") == k) & ok).withColumn("source_rank", F.lit(i)) for i, k in enumerate(KINDS)]
     return reduce(DataFrame.unionByName, scans)
 
 
+def translatable(elements: DataFrame) -> DataFrame:
+    """The other test: both sides of at least the least size, and no mark that says translated."""
+    c = F.col
+    return elements.where((c("width") >= MIN_SIZE) & (c("height") >= MIN_SIZE) & ~c("translated").eqNullSafe("true"))
+
+
 def numbered(rows: DataFrame, key: str = "host_page_id") -> DataFrame:
     """pos from 0 in the order of the scans."""
     return rows.withColumn("pos", (F.row_number().over(W.partitionBy(key).orderBy("source_rank", "element_id")) - 1).cast("int"))

@@ -41,9 +41,15 @@ def dedup_inflight(spark, sf):
     return C.first_in_flight(view(spark, sf, "documents").select("doc_id", F.md5("text").alias("key")), "key", "doc_id")
 
 
-@query("SELECT event_id, running, running < 3 AS admitted FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND 1 PRECEDING) AS running FROM events) z")
+#: One request after another: what is running of its user, and whether it is let in (fewer than three run, and none of its kind).
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+ s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0::BIGINT AS running, FALSE AS admitted, []::STRUCT(until BIGINT, kind VARCHAR)[] AS held FROM e
+ UNION ALL SELECT user_id, n, event_id, len(live), ok, CASE WHEN ok THEN list_append(live, {'until': t + 86400000000, 'kind': event_type}) ELSE live END
+ FROM (SELECT *, len(live) < 3 AND len(list_filter(live, lambda x: x.kind = event_type)) = 0 AS ok FROM (SELECT e.*, list_filter(s.held, lambda x: x.until > e.t) AS live FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1) y) z)
+ SELECT event_id, running, admitted FROM s WHERE n > 0""")
 def admission_cap(spark, sf):
-    return C.admitted(view(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 86400, order="event_id").select("event_id", "running", "admitted")
+    e = view(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    return C.admitted(e, "user_id", "ts", 86400, order="event_id", identity="event_type").select("event_id", "running", "admitted")
 
 
 @query("SELECT doc_id, CAST(doc_id % 6 AS INT) AS instance FROM documents")
@@ -101,9 +107,9 @@ def error_rows(spark, sf):
     return rows.select("o_orderkey", F.col("r.translatedText").alias("translated_text"), F.col("r.maxX").alias("max_x"))
 
 
-@query("SELECT doc_id, base64(encode(left(text, 40))) AS data, left(text, 40) AS back, CAST(length(base64(encode(left(text, 40)))) AS DOUBLE) * 3 / 4 / 1048576 AS mb FROM documents")
+@query("SELECT doc_id, base64(encode(text)) AS data, text AS back, CAST(length(base64(encode(text))) AS DOUBLE) * 3 / 4 / 1048576 AS mb FROM documents")
 def base64_roundtrip(spark, sf):
-    d = view(spark, sf, "documents").select("doc_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.left("text", F.lit(40)).cast("binary"))).alias("uri"))
+    d = view(spark, sf, "documents").select("doc_id", F.concat(F.lit("data:image/png;base64,"), C.encoded(F.col("text").cast("binary"))).alias("uri"))
     d = d.select("doc_id", C.strip_data_uri(F.col("uri")).alias("data"))
     return d.select("doc_id", "data", F.unbase64("data").cast("string").alias("back"), C.base64_mb(F.col("data")).alias("mb"))
 

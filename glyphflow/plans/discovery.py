@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 _E = with_views("elements")
 _VISIBLE = "(width > 0 AND height > 0 AND top_px < 720 AND top_px + height > 0 AND left_px < 1280 AND left_px + width > 0)"
-_CAND = f"SELECT *, CAST(CASE kind WHEN 'img' THEN 0 WHEN 'canvas' THEN 1 ELSE 2 END AS INT) AS source_rank FROM elements WHERE width > 100 AND height > 100 AND (kind <> 'img' OR (complete AND {_VISIBLE}))"
+_CAND = f"SELECT *, CAST(CASE kind WHEN 'img' THEN 0 WHEN 'canvas' THEN 1 ELSE 2 END AS INT) AS source_rank FROM elements WHERE width > 100 AND height > 100 AND (kind <> 'img' OR complete) AND {_VISIBLE}"
 _POS = "CAST(row_number() OVER (PARTITION BY host_page_id ORDER BY source_rank, element_id) - 1 AS INT)"
 
 
@@ -87,9 +87,9 @@ def settings_merge(spark, sf):
 _SORTED = "array_to_string(list_sort({}), ',')"
 
 
-@query("SELECT c_custkey, array_to_string(CASE WHEN list_contains(l, h) THEN l ELSE list_append(l, h) END, ',') AS added, array_to_string(list_filter(l, lambda x: x <> h), ',') AS removed FROM (SELECT c_custkey, ['h0', 'h1', 'h' || c_nationkey] AS l, 'h' || (c_custkey % 5) AS h FROM customer WHERE c_nationkey > 1) z")
+@query("SELECT c_custkey, array_to_string(CASE WHEN list_contains(l, h) THEN l ELSE list_append(l, h) END, ',') AS added, array_to_string(list_filter(l, lambda x: x <> h), ',') AS removed FROM (SELECT c_custkey, ['h0', 'h1', 'h' || c_nationkey] AS l, 'h' || (c_custkey % 5) AS h FROM customer) z")
 def allow_list_edit(spark, sf):
-    c = view(spark, sf, "customer").where("c_nationkey > 1").selectExpr("c_custkey", "array('h0', 'h1', concat('h', c_nationkey)) as l", "concat('h', c_custkey % 5) as h")
+    c = view(spark, sf, "customer").selectExpr("c_custkey", "array('h0', 'h1', concat('h', c_nationkey)) as l", "concat('h', c_custkey % 5) as h")
     return c.select("c_custkey", F.array_join(F.when(F.array_contains("l", F.col("h")), F.col("l")).otherwise(F.array_append("l", F.col("h"))), ",").alias("added"), F.array_join(F.array_remove("l", F.col("h")), ",").alias("removed"))
 
 

@@ -20,20 +20,20 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT item_id, CAST(i AS INT) AS box_idx, CAST(10 * i AS INT) AS min_x, CAST(5 * i AS INT) AS min_y, CAST(10 * i + 40 + length(text) % 7 AS INT) AS max_x, CAST(5 * i + 30 AS INT) AS max_y FROM (SELECT item_id, text, unnest(range(CAST(length(text) % 4 AS BIGINT))) AS i FROM benchmark) z")
+@query("SELECT doc_id, CAST(i AS INT) AS box_idx, CAST(10 * i AS INT) AS min_x, CAST(5 * i AS INT) AS min_y, CAST(10 * i + 40 + length(text) % 7 AS INT) AS max_x, CAST(5 * i + 30 AS INT) AS max_y FROM (SELECT doc_id, text, unnest(range(CAST(length(text) % 4 AS BIGINT))) AS i FROM documents) z")
 def detect_udtf(spark, sf):
-    b = view(spark, sf, "benchmark").select("item_id", M.detect(F.col("text")).alias("bs"))
-    return b.select("item_id", F.posexplode("bs").alias("box_idx", "b")).select("item_id", "box_idx", "b.*")
+    b = view(spark, sf, "documents").select("doc_id", M.detect(F.col("text")).alias("bs"))
+    return b.select("doc_id", F.posexplode("bs").alias("box_idx", "b")).select("doc_id", "box_idx", "b.*")
 
 
-@query("SELECT item_id, left(text, 12) || '.' AS ocr_text FROM benchmark")
+@query("SELECT doc_id, text || '.' AS ocr_text FROM documents")
 def ocr_udf(spark, sf):
-    return view(spark, sf, "benchmark").select("item_id", M.ocr(F.col("text"))["value"].alias("ocr_text"))
+    return view(spark, sf, "documents").select("doc_id", M.ocr(F.col("text"))["value"].alias("ocr_text"))
 
 
-@query("SELECT conv_id, turn, role, CASE WHEN trim(t) = '' THEN '' ELSE '[en] ' || reverse(t) END AS translated FROM (SELECT conv_id, turn, role, left(text, 16) AS t FROM conversations) z")
+@query("SELECT conv_id, turn, role, CASE WHEN trim(t) = '' THEN '' ELSE '[en] ' || reverse(t) END AS translated FROM (SELECT conv_id, turn, role, text AS t FROM conversations) z")
 def translate_udf(spark, sf):
-    c = view(spark, sf, "conversations").select("conv_id", "turn", "role", F.left("text", F.lit(16)).alias("t"), F.lit("en").alias("lang"))
+    c = view(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("t"), F.lit("en").alias("lang"))
     return M.translate_distinct(c, "t", "lang").select("conv_id", "turn", "role", "translated")
 
 

@@ -45,8 +45,8 @@ def page_rows(spark, sf):
     """Boxes after detection, with Japanese text joined by a number, text region, font and z-index."""
     found = D.postprocess(view(spark, sf, "raw_detections"))
     texts = view(spark, sf, "ocr_texts").where(T.is_japanese(F.col("ocr_text")))
-    n = view(spark, sf, "documents").count()
-    rows = found.withColumn("doc_id", (F.col("page_id") * 7 + F.col("box_idx")) % n).join(texts, "doc_id")
+    n = view(spark, sf, "documents").agg(F.count("*").alias("n"))  # one row
+    rows = found.crossJoin(F.broadcast(n)).withColumn("doc_id", (F.col("page_id") * 7 + F.col("box_idx")) % F.col("n")).drop("n").join(texts, "doc_id")
     region = G.inset(G.box(), 1)
     rows = rows.withColumn("r", region).withColumn("font", L.font_size(F.col("r.max_x") - F.col("r.min_x"), F.col("r.max_y") - F.col("r.min_y"), F.length("ocr_text")))
     z = F.row_number().over(W.partitionBy("page_id").orderBy(G.area(G.box()).desc(), "read_idx"))
@@ -68,14 +68,14 @@ def page_response(spark, sf):
 _REQ = with_views("boxes")
 
 
-@query(f"""{_REQ}, r AS (SELECT page_id // 5 AS request_id, page_id % 5 AS image_idx, box_idx AS box_pos, '{{"min_x":' || min_x || ',"min_y":' || min_y || '}}' AS b FROM boxes WHERE confidence >= 0.9),
+@query(f"""{_REQ}, r AS (SELECT page_id // 5 AS request_id, page_id % 5 AS image_idx, box_idx AS box_pos, '{{"min_x":' || min_x || ',"min_y":' || min_y || ',"max_x":' || max_x || ',"max_y":' || max_y || '}}' AS b FROM boxes),
  i AS (SELECT o_orderkey // 5 AS request_id, o_orderkey % 5 AS image_idx FROM orders),
  l AS (SELECT i.request_id, i.image_idx, '[' || coalesce(string_agg(b, ',' ORDER BY box_pos), '') || ']' AS j FROM i LEFT JOIN r ON r.request_id = i.request_id AND r.image_idx = i.image_idx GROUP BY i.request_id, i.image_idx)
  SELECT request_id, '[' || string_agg(j, ',' ORDER BY image_idx) || ']' AS response FROM l GROUP BY request_id""")
 def nested_response(spark, sf):
-    rows = view(spark, sf, "boxes").where("confidence >= 0.9D").selectExpr("page_id div 5 as request_id", "page_id % 5 as image_idx", "box_idx as box_pos", "min_x", "min_y")
+    rows = view(spark, sf, "boxes").selectExpr("page_id div 5 as request_id", "page_id % 5 as image_idx", "box_idx as box_pos", "min_x", "min_y", "max_x", "max_y")
     images = view(spark, sf, "orders").selectExpr("o_orderkey div 5 as request_id", "o_orderkey % 5 as image_idx").distinct()
-    return P.respond(images, rows, ["min_x", "min_y"])
+    return P.respond(images, rows, ["min_x", "min_y", "max_x", "max_y"])
 
 
 @query(f"{_REQ} SELECT page_id, box_idx, CAST((page_id % 1000) * 1000 AS DOUBLE) / count(*) OVER (PARTITION BY page_id) AS each_ms FROM boxes")
@@ -119,9 +119,9 @@ def ocr_compare(spark, sf):
 _EL = with_views("elements", "boxes")
 
 
-@query(f"{_EL}, b AS (SELECT page_id, count(*) AS n FROM boxes WHERE confidence >= 0.5 GROUP BY page_id) SELECT element_id, coalesce(n, 0) AS n_boxes FROM elements LEFT JOIN b ON page_id = element_id")
+@query(f"{_EL}, b AS (SELECT page_id, count(*) AS n FROM boxes GROUP BY page_id) SELECT element_id, coalesce(n, 0) AS n_boxes FROM elements LEFT JOIN b ON page_id = element_id")
 def response_join(spark, sf):
-    counted = view(spark, sf, "boxes").where("confidence >= 0.5D").groupBy(F.col("page_id").alias("element_id")).agg(F.count("*").alias("n_boxes"))
+    counted = view(spark, sf, "boxes").groupBy(F.col("page_id").alias("element_id")).agg(F.count("*").alias("n_boxes"))
     return P.by_position(view(spark, sf, "elements").select("element_id"), counted, ["element_id"], "n_boxes", F.lit(0).cast("long"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.cache import encoded
 from ..sources import files, requests
 from .fixtures import view
 
@@ -20,10 +21,10 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT conv_id, CAST(n - 1 AS INT) AS image_idx, CASE WHEN conv_id % 2 = 0 THEN 'German' ELSE 'English' END AS target_language, md5(t) AS digest FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS c, left(text, 40) AS t FROM conversations) z WHERE c BETWEEN 1 AND 5")
+@query("SELECT conv_id, CAST(n - 1 AS INT) AS image_idx, CASE WHEN conv_id % 2 = 0 THEN 'German' ELSE 'English' END AS target_language, md5(t) AS digest FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS c, text AS t FROM conversations) z WHERE c BETWEEN 1 AND 5")
 def request_images(spark, sf):
     c = view(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    uris = F.transform("m", lambda x: F.concat(F.lit("data:image/png;base64,"), F.base64(F.left(x["text"], F.lit(40)).cast("binary"))))
+    uris = F.transform("m", lambda x: F.concat(F.lit("data:image/png;base64,"), encoded(x["text"].cast("binary"))))
     body = F.to_json(F.struct(uris.alias("base64Images"), F.when(F.col("conv_id") % 2 == 0, "German").alias("targetLanguage")))
     rows = requests.image_rows(requests.parsed(c.select("conv_id", body.alias("body"))))
     return rows.select("conv_id", "image_idx", "target_language", F.md5("content").alias("digest"))
@@ -48,9 +49,9 @@ def settings_upsert(spark, sf):
     return requests.upsert(t, changes, "c_custkey")
 
 
-@query("SELECT conv_id, string_agg(left(text, 12), '' ORDER BY turn, left(text, 12)) AS body FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS body FROM conversations GROUP BY conv_id")
 def body_chunks(spark, sf):
-    c = view(spark, sf, "conversations").select("conv_id", "turn", F.left("text", F.lit(12)).alias("body"))
+    c = view(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("body"))
     return files.chunks_joined(c, "conv_id", "turn", "body")
 
 
@@ -60,6 +61,6 @@ def folder_sizes(spark, sf):
     return files.folder_sizes(listing, "file:/models")
 
 
-@query("SELECT doc_id, 'data:' || CASE WHEN doc_id % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END || ';base64,' || base64(encode(left(text, 9))) AS uri FROM documents")
+@query("SELECT doc_id, 'data:' || CASE WHEN doc_id % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END || ';base64,' || base64(encode(text)) AS uri FROM documents")
 def upload_uri(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", files.data_uri(F.left("text", F.lit(9)).cast("binary"), F.when(F.col("doc_id") % 2 == 0, "image/png")).alias("uri"))
+    return view(spark, sf, "documents").select("doc_id", files.data_uri(F.col("text").cast("binary"), F.when(F.col("doc_id") % 2 == 0, "image/png")).alias("uri"))

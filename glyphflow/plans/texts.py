@@ -98,11 +98,11 @@ def build_prompt(spark, sf):
     return view(spark, sf, "ocr_texts").select("doc_id", T.prompt(F.col("ocr_text"), "English").alias("prompt"))
 
 
-@query("SELECT conv_id, string_agg(CAST(n AS VARCHAR) || '. ' || t, chr(10) ORDER BY n) AS prompt FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, left(text, 20) AS t FROM conversations) z GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(CAST(n AS VARCHAR) || '. ' || t, chr(10) ORDER BY n) AS prompt FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, text AS t FROM conversations) z GROUP BY conv_id")
 def batch_prompt(spark, sf):
     c = view(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     lines = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    return lines.select("conv_id", T.numbered_prompt(F.transform("m", lambda x: F.left(x["text"], F.lit(20)))).alias("prompt"))
+    return lines.select("conv_id", T.numbered_prompt(F.transform("m", lambda x: x["text"])).alias("prompt"))
 
 
 @query(f"{OCR} SELECT doc_id, ocr_text FROM ocr_texts WHERE length({_strip('ocr_text')}) > 0 AND CAST((doc_id * 7919) % 60000 AS DOUBLE) / length(ocr_text) <= 6000")
@@ -136,6 +136,13 @@ def word_wrap(spark, sf):
     return b.select("item_id", F.size("l").alias("n_lines"), F.array_join("l", "|").alias("wrapped"))
 
 
+@query()
+def word_wrap_documents(spark, sf):
+    """Long texts; tested by brute force, as a recursive query over their words is too slow."""
+    d = view(spark, sf, "documents").select("doc_id", L.wrap(F.col("text"), F.lit(24)).alias("l"))
+    return d.select("doc_id", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "|")).alias("wrapped"))
+
+
 _GREY = "WITH g AS (SELECT vec_id, list_transform(embedding, lambda v: least(255.0, greatest(0.0, 128.0 + 400.0 * CAST(v AS DOUBLE)))) AS px FROM embeddings)"
 _SUMS = f"""{_GREY}, e AS (SELECT vec_id, CAST(i AS INT) AS i, px[i * 8 + 1] + px[i * 8 + 2] + px[i * 8 + 3] + px[i * 8 + 4] + px[i * 8 + 5] + px[i * 8 + 6] + px[i * 8 + 7] + px[i * 8 + 8] AS r,
  px[i + 1] + px[i + 9] + px[i + 17] + px[i + 25] + px[i + 33] + px[i + 41] + px[i + 49] + px[i + 57] AS c FROM g, range(8) t(i))"""

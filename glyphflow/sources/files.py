@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cache import encoded
+
 IMAGE_GLOB = "*.{jpg,jpeg,png,webp}"
 REPORT = "timestamp string, device_info map<string, string>, config map<string, string>, benchmarks map<string, struct<mean_ms: double, median_ms: double, std_ms: double, min_ms: double, max_ms: double, p50_ms: double, p95_ms: double, p99_ms: double, cv_percent: double, fps: double, iterations: int>>"
 OCR_PAGE = "rec_texts array<string>, rec_scores array<double>, rec_polys array<array<array<int>>>, rec_boxes array<array<int>>"
@@ -23,7 +25,7 @@ def image_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def data_uri(content: Column, media_type: Column) -> Column:
     """An upload as a data URI; without a media type it counts as JPEG."""
-    return F.concat(F.lit("data:"), F.coalesce(media_type, F.lit("image/jpeg")), F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), F.coalesce(media_type, F.lit("image/jpeg")), F.lit(";base64,"), encoded(content))
 
 
 def chunks_joined(chunks: DataFrame, key: str, seq: str, data: str) -> DataFrame:
@@ -67,6 +69,16 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return None
 
 
+def put_files(spark: SparkSession, folder: str, contents: dict[str, bytes]) -> None:
+    """A few small files, written by the driver through the folder's own file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, content in contents.items():
+        where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = where.getFileSystem(conf).create(where, True)
+        out.write(bytearray(content))
+        out.close()
+
+
 def folder_sizes(listing: DataFrame, root: str) -> DataFrame:
     """Bytes and files of each top folder; listing: path and length, as binaryFile gives them."""
     rest = F.substring_index("path", root.rstrip("/") + "/", -1)

@@ -18,6 +18,14 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/glyphflow-streams/{kind}-{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Makes the folder, and lets it go when the session's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+
+
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A table's files as a stream; a single file is read through its folder and a name filter."""
     schema = spark.read.parquet(path).schema
@@ -30,11 +38,18 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drained(spark: SparkSession, stream: DataFrame, schema) -> DataFrame:
-    """All rows that the stream yields for what is there now, written to a shared folder and read back."""
-    out = shared_path(spark, "rows")
-    q = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).option("checkpointLocation", shared_path(spark, "state")).trigger(availableNow=True).start()
+    """All rows that the stream yields for what is there now, written to a shared folder and read back.
+
+    Each batch has a folder named by its number and replaces what a failed attempt left there, so no row is written twice.
+    States go when the stream has ended, rows when the session's JVM ends.
+    """
+    out, state = shared_path(spark, "rows"), shared_path(spark, "state")
+    q = stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    hadoop(state).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(state), True)
+    forget(spark, out)
+    return spark.read.schema(schema).parquet(out).select(*schema.names if hasattr(schema, "names") else [x.split()[0] for x in schema.split(", ")])
 
 
 def upsert_cache(batch: DataFrame, cache_path: str, key: str, order: str) -> DataFrame:
@@ -50,4 +65,5 @@ def upsert_cache(batch: DataFrame, cache_path: str, key: str, order: str) -> Dat
     latest = whole.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("r")).select(key, "r.*")
     target = shared_path(spark, "cache")
     latest.write.parquet(target)
+    forget(spark, target)
     return spark.read.parquet(target)

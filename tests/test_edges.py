@@ -153,3 +153,55 @@ def test_rejected_requests_take_no_place(spark):
                 ends.append(s + 10)
     got = {r.event_id: (r.running, r.admitted) for r in C.admitted(df, "user_id", "ts", 10, order="event_id").collect()}
     assert got == want
+
+
+def test_requests_for_what_is_running_are_rejected(spark):
+    rows = [(1, "u", 0, "a"), (2, "u", 1, "a"), (3, "u", 2, "b"), (4, "u", 3, "c"), (5, "u", 4, "d"), (6, "u", 10, "a"), (7, "v", 1, "a"), (8, "u", 10, None), (9, "u", None, "z")]
+    df = spark.createDataFrame(rows, "event_id int, user string, s int, kind string").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.event_id: (r.running, r.admitted) for r in C.admitted(df, "user", "ts", 10, order="event_id", identity="kind").collect()}
+    # 2 asks for what 1 has, 5 finds three; 6 comes as 1 has ended and takes its place
+    assert got == {1: (0, True), 2: (1, False), 3: (1, True), 4: (2, True), 5: (3, False), 6: (2, True), 7: (0, True), 8: (3, False), 9: (0, True)}
+
+
+def test_candidates_must_be_visible_whatever_they_are(spark):
+    from glyphflow.operators import discovery
+
+    cols = "element_id int, host_page_id int, kind string, complete boolean, width int, height int, left_px int, top_px int"
+    rows = [(k * 3 + i, 1, kind, True, 200, 200, left, 0) for k, kind in enumerate(("img", "canvas", "background")) for i, left in enumerate((0, 1280, -200))]
+    assert sorted(r.element_id for r in discovery.candidates(spark.createDataFrame(rows, cols)).collect()) == [0, 3, 6]
+
+
+def test_reply_lines_split_at_the_first_mark(spark):
+    reply = "\n1. Hello. World\n\n3. a\nplain\n5. b"
+    got = spark.createDataFrame([(reply,)], "r string").select(T.numbered_reply(F.col("r"), F.lit(4)).alias("x")).first().x
+    assert got == [t.split(". ", 1)[-1] for t in reply.strip().split("\n")][:4] == ["Hello. World", "", "a", "plain"]
+
+
+def test_wrapping_long_texts(spark):
+    rng = random.Random(3)
+    texts = ["", " ", "word", "x" * 100, " ".join("ab" * rng.randrange(12) for _ in range(3000)), "a  b"]
+
+    def slow(t):
+        lines, now = [], ""
+        for w in t.split(" "):
+            longer = f"{now} {w}" if now else w
+            if len(longer) > 24 and now:
+                lines.append(now)
+                now = w
+            else:
+                now = longer
+        lines += [now] if now else []
+        return lines or [t]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert {r.i: r.l for r in df.select("i", L.wrap(F.col("t"), F.lit(24)).alias("l")).collect()} == dict(enumerate(map(slow, texts)))
+
+
+def test_session_helpers(spark):
+    from glyphflow.operators import session as S
+
+    df = spark.createDataFrame([(1, b"x", "/ws/translate/French"), (2, b"", "/ws/translate"), (3, None, "/ws/translate/")], "seq int, frame binary, path string")
+    got = {r.seq: (r.target_language, r.success, r.error, r.answer) for r in S.replies(df, "frame", "path", F.length("frame")).collect()}
+    assert got == {1: ("French", True, None, 1), 2: ("English", False, S.NO_IMAGE, None), 3: ("English", False, S.NO_IMAGE, None)}
+    o = spark.createDataFrame([(1, 0, "blk", 3), (1, 1, "seg", 4), (1, 2, "det", 4), (2, 0, "a", 3), (2, 1, "b", 4), (2, 2, "c", 4), (3, 0, "a", 2), (4, 0, "mask", 3), (4, 1, "x", 3)], "m int, pos int, name string, ndim int")
+    assert {r.m: (r.blocks, r["mask"], r.lines) for r in S.output_roles(o, "m").collect()} == {1: (0, 1, 2), 2: (0, 1, 2), 3: (None, None, None), 4: (0, 0, 1)}
