@@ -3,21 +3,24 @@
 Documents of equal text are linked. A group of more rows than a shard's share (there are at most as many as shards) is first
 packed into whole shards, its rest into the smallest room that takes it; the rounds and cuts leave it there. Each other
 document starts in the shard that a hash of its id names, among the rooms that are left. In each round, every group of
-linked documents asks to move its members towards the shard that holds most of them among those with room; requests to a
-shard are granted by groups' sizes, largest first, up to its quota, the last ones in proportion (SLACK times its
-room, so that there is room to move when most rows are linked). Only members of a
-group's smaller parts move, so the sum of squares of its parts grows, the number of cut edges shrinks, and rounds end.
-Then every shard holds at most its exact share: what is above leaves, smallest groups first, and fills all gaps together with
-unlinked documents; what leaves of a group stays side by side, and the largest gaps take the largest groups.
-
-Law `rows`: shards' row counts differ by at most one. State is one row a group with a count for each shard, so a group
+linked documents asks to move its smaller parts to the shard that holds most of it (of equal parts, one by a hash). A
+shard's room is a capacity: what may come in is what is free plus what goes out in the same round, so full shards swap.
+`flows` cuts the asked flows between shards to such ones; of each flow that share of the parts moves, a large part in
+proportion, a small one whole or not at all by a hash. Members only move to larger parts, so the sum of squares of a
+group's parts grows, the number of cut edges shrinks, and rounds end: when less than one linked document in SETTLED moves.
+Then every shard holds at most its exact share: what is above by the luck of hashes leaves, smallest groups first, and
+fills all gaps together with unlinked documents; what leaves of a group stays side by side, and the largest gaps take the
+largest groups.
+
+Law `rows`: shards' row counts differ by at most one. State is one row a group with its parts, so a group
 of any size is one small row, links are never listed as pairs, and members that are alike aren't told apart until the
 end. Groups of over a 1024th of all rows (at most 1024 of them) are dealt to their places in SALTS parts. A null text has
-size 8 and is linked to empty ones; rows of equal ids and texts are interchangeable.
+size 8 and is linked to empty ones; rows of equal ids and texts are interchangeable; very long texts are hashed whole.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -26,7 +29,10 @@ from pyspark.sql.window import Window as W
 
 from .common import Scratch
 
-SHARDS, ROUNDS, SLACK, SALTS, SUB_BANDS = 24, 30, 2.0, 512, 16
+SHARDS, SALTS, SUB_BANDS = 24, 512, 16
+#: Rounds end when less than one linked document in SETTLED moves. Each round makes parts grow, so they do; a warning tells
+#: if so many rounds have not been enough. Parts of LARGE documents and more move in proportion.
+SETTLED, ROUNDS, LARGE = 2000, 100, 64
 
 
 def documents_table(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -50,50 +56,68 @@ def packed(heavy: list, room: list[int]) -> dict[str, list[int]]:
 
 
 def linked_groups(docs: DataFrame, shards: int, room: list[int] | None = None) -> DataFrame:
-    """(gid, n, counts): groups of at least two, with the number of members that start in each shard, in proportion to room if given."""
+    """(gid, n, parts): groups of at least two, with the number c of members that start in each shard s, in proportion to room if given."""
     label = F.pmod(F.xxhash64("id", "size"), F.lit(shards)).cast("int")
     if room and sum(room):
         ends = F.array(*[F.lit(sum(room[: s + 1])).cast("long") for s in range(shards)])
         label = F.size(F.filter(ends, lambda e: e <= F.pmod(F.xxhash64("id", "size"), F.lit(sum(room)))))
-    cells = docs.select("gid", label.alias("shard")).groupBy("gid", "shard").agg(F.count("*").alias("c"))
-    groups = cells.groupBy("gid").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("m")).where("n > 1")
-    return groups.select("gid", "n", F.expr(f"transform(sequence(0, {shards - 1}), s -> coalesce(m[s], 0L))").alias("counts"))
+    cells = docs.select("gid", label.alias("s")).groupBy("gid", "s").agg(F.count("*").alias("c"))
+    return cells.groupBy("gid").agg(F.sum("c").alias("n"), F.collect_list(F.struct("c", "s")).alias("parts")).where("n > 1")
 
 
 def loads(groups: DataFrame, shards: int) -> list[int]:
-    row = groups.agg(*[F.coalesce(F.sum(F.col("counts")[s]), F.lit(0)).alias(f"s{s}") for s in range(shards)]).first()
-    return [row[s] for s in range(shards)]
+    found = {r["s"]: r["c"] for r in groups.select(F.explode("parts").alias("p")).groupBy("p.s").agg(F.sum("p.c").alias("c")).collect()}  # a row a shard
+    return [found.get(s, 0) for s in range(shards)]
+
+
+def flows(asked: list[list[int]], free: list[int]) -> list[list[float]]:
+    """The largest shares of the asked flows, cut shard by shard, that bring no shard more than it has free and sends away."""
+    n = range(len(free))
+    flow = [[float(x) for x in row] for row in asked]
+    for _ in range(1000):
+        share = []
+        for t in n:
+            inflow, outflow = sum(flow[s][t] for s in n), sum(flow[t])
+            share.append(1.0 if inflow <= 0 else min(1.0, max(0.0, free[t] + outflow) / inflow))
+        if min(share) > 1 - 1e-6:
+            break
+        flow = [[x * share[t] for t, x in enumerate(row)] for row in flow]
+    return flow
 
 
 def propagate(groups: DataFrame, rooms: list[int], scratch: Scratch, shards: int = SHARDS) -> DataFrame:
-    """Rounds of moves under the shards' quotas, until none is made."""
-    quota = [int(r * SLACK) for r in rooms]
-    for _ in range(ROUNDS):
-        free = [max(0, q - x) for q, x in zip(quota, loads(groups, shards))]
-        room = F.array(*[F.lit(x).cast("long") for x in free])
-        spot = F.expr(f"transform(sequence(0, {shards - 1}), s -> named_struct('c', counts[s], 'tie', -pmod(s + hash(gid), {shards}), 's', s))")
-        asked = (
-            groups.withColumn("room", room)
-            .withColumn("spots", spot)
-            .withColumn("to", F.expr("array_max(filter(spots, x -> room[x.s] > 0))"))
-            .withColumn("inflow", F.expr("aggregate(spots, 0L, (a, x) -> a + if(x < to, x.c, 0L))"))
-            .where("to is not null and inflow > 0 and to.c > 0")
-            .withColumn("band", F.expr(f"(64 - cast(floor(log2(n)) as int)) * {SUB_BANDS} + pmod(hash(gid, 1), {SUB_BANDS})"))
-        )
-        bands = asked.groupBy(F.col("to.s").alias("target"), "band").agg(F.sum("inflow").alias("wanted"))  # at most shards * 64 * SUB_BANDS rows
-        before = F.coalesce(F.sum("wanted").over(W.partitionBy("target").orderBy("band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        granted = bands.withColumn("left", room[F.col("target")] - before).where("`left` > 0").select("target", "band", F.least(F.lit(1.0), F.col("left") / F.col("wanted")).alias("share"))
-        moves = asked.join(F.broadcast(granted), (F.col("to.s") == F.col("target")) & (asked["band"] == granted["band"])).select("gid", "spots", F.col("to.s").alias("t"), F.col("to").alias("to"), "inflow", F.floor(F.col("inflow") * F.col("share")).cast("long").alias("moved")).where("moved > 0")
-        # the smallest parts go first
-        taken = F.expr("transform(spots, x -> if(x < to, least(x.c, greatest(0L, moved - aggregate(filter(spots, y -> y < x), 0L, (a, y) -> a + y.c))), 0L))")
-        changed = moves.withColumn("taken", taken).select("gid", F.expr("transform(spots, x -> x.c - taken[x.s] + if(x.s = t, moved, 0L))").alias("new_counts"))
-        changed = scratch.write(changed)
-        if not changed.head(1):
-            scratch.drop(changed)
-            break
-        merged = scratch.write(groups.join(changed, "gid", "left").select("gid", "n", F.coalesce("new_counts", "counts").alias("counts")))
-        scratch.drop(changed, groups)
-        groups = merged
+    """Rounds of moves under the shards' rooms, until hardly any is made; groups is a written table, and goes."""
+    is_open = [True] * shards
+    for turn in range(ROUNDS):
+        key = F.expr(f"transform(parts, p -> named_struct('c', p.c, 'tie', hash(gid, p.s, {turn}), 's', p.s))")
+        open_shards = F.array(*[F.lit(x) for x in is_open])
+        asked = groups.withColumn("spots", key).withColumn("to", F.array_max(F.filter("spots", lambda x: F.get(open_shards, x["s"]))))
+        goes = F.transform("spots", lambda x: F.struct(x["c"].alias("c"), x["s"].alias("s"), F.when(F.col("to").isNotNull() & (x < F.col("to")), F.col("to.s")).otherwise(x["s"]).alias("t")))
+        asked = asked.select("gid", "n", goes.alias("parts"))
+        wanted, load = [[0] * shards for _ in range(shards)], [0] * shards
+        for r in asked.select(F.explode("parts").alias("p")).groupBy("p.s", "p.t").agg(F.sum("p.c").alias("c")).collect():  # at most shards * shards rows
+            load[r["s"]] += r["c"]
+            if r["s"] != r["t"]:
+                wanted[r["s"]][r["t"]] = r["c"]
+        given = flows(wanted, [a - b for a, b in zip(rooms, load)])
+        if sum(map(sum, given)) * SETTLED < max(1, sum(load)):
+            return groups
+        is_open = [not any(row[t] for row in wanted) or sum(row[t] for row in given) > 0.01 * sum(row[t] for row in wanted) for t in range(shards)]
+        share = F.array(*[F.lit(g / w if w else 0.0) for a, b in zip(given, wanted) for g, w in zip(a, b)])
+        part = F.expr(f"pmod(hash(gid, {turn}, 7), 1048576) / 1048576D")
+
+        def moved(x):
+            mine = F.get(share, x["s"] * shards + x["t"])
+            return F.when(x["s"] == x["t"], F.lit(0).cast("long")).when(x["c"] >= LARGE, F.floor(x["c"] * mine)).otherwise(F.when(part < mine, x["c"]).otherwise(F.lit(0).cast("long")))
+
+        left = asked.withColumn("parts", F.transform("parts", lambda x: F.struct(x["c"].alias("c"), x["s"].alias("s"), x["t"].alias("t"), moved(x).alias("m"))))
+        target = F.filter("parts", lambda x: x["s"] != x["t"])
+        left = left.withColumn("t", F.get(target, F.lit(0))["t"]).withColumn("come", F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["m"]))
+        grown = F.transform("parts", lambda x: F.struct((x["c"] - x["m"] + F.when(x["s"] == F.col("t"), F.col("come")).otherwise(0)).cast("long").alias("c"), x["s"].alias("s")))
+        new = scratch.write(left.select("gid", "n", F.filter(grown, lambda x: x["c"] > 0).alias("parts")))
+        scratch.drop(groups)
+        groups = new
+    warnings.warn(f"label propagation still moved documents after {ROUNDS} rounds", stacklevel=2)
     return groups
 
 
@@ -113,7 +137,7 @@ def assign(df: DataFrame, scratch: Scratch, shards: int = SHARDS, text_col: str
     room = list(quota)
     heavy = packed([(r["gid"], r["n"]) for r in found], room)
     if heavy:
-        big = docs.sparkSession.createDataFrame([(r["gid"], r["n"], heavy[r["gid"]]) for r in found], "gid string, n long, counts array<long>")
+        big = docs.sparkSession.createDataFrame([(r["gid"], r["n"], [(c, s) for s, c in enumerate(heavy[r["gid"]]) if c]) for r in found], "gid string, n long, parts array<struct<c: long, s: int>>")
         others = linked_groups(docs.join(F.broadcast(big.select("gid")), "gid", "left_anti"), shards, room)
         groups = scratch.write(propagate(scratch.write(others), room, scratch, shards).unionByName(big))
     else:
@@ -127,7 +151,8 @@ def assign(df: DataFrame, scratch: Scratch, shards: int = SHARDS, text_col: str
     # in each shard the packed groups come first, then groups of over 256 by size, then all others
     by_size = F.when(F.col("n") > max(1, quota[0]), -2000).when(F.col("n") > 256, -(F.floor(F.log2("n")) * SUB_BANDS + F.pmod(F.hash("gid"), F.lit(SUB_BANDS))))
     bucket = F.coalesce(by_size, F.pmod(F.xxhash64("gid"), F.lit(buckets))).cast("int")
-    wide = groups.select("gid", "n", *[F.col("counts")[s].alias(x) for s, x in enumerate(c)], bucket.alias("bucket"))
+    counts = F.map_from_entries(F.transform("parts", lambda p: F.struct(p["s"], p["c"])))
+    wide = groups.withColumn("m", counts).select("gid", "n", *[F.coalesce(F.try_element_at("m", F.lit(s)), F.lit(0)).cast("long").alias(x) for s, x in enumerate(c)], bucket.alias("bucket"))
     ahead = running(wide.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in c]), "bucket", c)  # at most `buckets` and 64 * SUB_BANDS rows
     window = W.partitionBy("bucket").orderBy("gid").rowsBetween(W.unboundedPreceding, -1)
     inner = wide.select("gid", "n", "bucket", *c, *[F.coalesce(F.sum(x).over(window), F.lit(0)).alias(f"{x}_in") for x in c]).join(F.broadcast(ahead), "bucket")

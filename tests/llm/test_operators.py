@@ -269,10 +269,45 @@ def test_sharding_keeps_copies_together(spark):
     start = F.pmod(F.xxhash64("doc_id", "size"), F.lit(24))
     split = df.where("text <> 'hot'").groupBy("text").agg(F.countDistinct("shard").alias("n"), F.countDistinct(start).alias("first"))
     assert 5 * split.where("n > 1").count() < split.where("first > 1").count()
+    assert df.where("text = 'hot'").select("shard").distinct().count() <= 16  # 8 at least
     sizes = [r["count"] for r in found.groupBy("shard").count().collect()]
     assert sizes == [125] * 24
 
 
+def test_flows_are_capacities():
+    # 0 and 1 are full and may swap as much as both give; 2 has room for 5 besides
+    given = sharding.flows([[0, 10, 20], [4, 0, 0], [0, 0, 0]], [0, 0, 5])
+    inflow, outflow = [sum(r[t] for r in given) for t in range(3)], [sum(r) for r in given]
+    assert all(i <= f + o + 1e-3 for i, f, o in zip(inflow, [0, 0, 5], outflow))
+    assert abs(given[1][0] - 4) < 1e-2 and abs(given[0][1] - 4) < 1e-2 and abs(given[0][2] - 5) < 1e-2
+
+
+def test_sharding_reaches_known_cuts(spark):
+    """Half of the rows are linked, so there is room for each group in one shard: no edge need be cut."""
+    rows = [(i, f"t{i % 40}") for i in range(240)] + [(1000 + i, f"alone {i}") for i in range(240)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sharding.assign(texts, Scratch(spark)).join(texts, "doc_id")
+    split = found.where("doc_id < 1000").groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count()
+    assert split <= 2 and [r["count"] for r in found.groupBy("shard").count().collect()] == [20] * 24
+
+
+def test_propagation_keeps_members_and_rooms(spark):
+    """Each round's outcome: no member lost, parts only grow together, and no shard much above its room."""
+    rows = [(i, f"t{i % 97}") for i in range(4000)]
+    docs = sharding.documents_table(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id")
+    scratch = Scratch(spark)
+    before = sharding.linked_groups(docs, 24)
+    squares = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["c"] * p["c"])
+    was = {r.gid: (r.n, r.q) for r in before.select("gid", "n", squares.alias("q")).collect()}
+    after = sharding.propagate(scratch.write(before), [167] * 24, scratch).select("gid", "n", "parts", squares.alias("q")).collect()
+    assert {r.gid: r.n for r in after} == {g: n for g, (n, _) in was.items()} and all(sum(p.c for p in r.parts) == r.n and r.q >= was[r.gid][1] for r in after)
+    load = Counter()
+    for r in after:
+        for p in r.parts:
+            load[p.s] += p.c
+    assert max(load.values()) <= 167 * 1.5 and sum(r.q for r in after) > 3 * sum(q for _, q in was.values())
+
+
 def test_sharding_packs_a_group_larger_than_a_shard(spark):
     rows = [(i, f"t{i % 700}") for i in range(2000)] + [(5000 + i, "hot") for i in range(1000)]
     found = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark))
