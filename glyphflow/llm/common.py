@@ -50,6 +50,21 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: The session's setting by which the files of a query's shuffles go when it has ended (from Spark 4.1; without effect before).
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for the time of the block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, so that a lost executor costs no repeated work.
 
@@ -70,7 +85,8 @@ class Scratch:
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/glyphflow/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with setting(self.spark, CLEAN_UP, "true"):  # what df shuffles is read by this write alone
+            df.write.parquet(path)
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -95,14 +111,6 @@ def dropping():
             scratch.close()
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the files of shuffles that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def texts(df: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
     """The kept columns, and the text as UTF-8 bytes under the name _text; a null text becomes empty."""
     own = [F.col(f"`{c}`") for c in keep]

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from glyphflow.llm import bpe, class_lm, decontaminate, licenses, quality, sharding, simhash, suffixes, url_rules
 from glyphflow.llm.common import Scratch
 
+from plain import repeated_runs
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -556,9 +558,9 @@ def test_rarest_tokens_fetch_few_rules():
 
 
 def test_repeated_strings(spark, docs, rows):
-    some = [(i, t) for i, t, *_ in rows if i is not None and len(raw(t)) < 60_000]
-    want = suffixes.brute([raw(t) for _, t in some])
-    df = docs.where("doc_id is not null and octet_length(coalesce(text, '')) < 60000")
+    some = [(i, t) for i, t, *_ in rows if i is not None]
+    want = repeated_runs([raw(t) for _, t in some])
+    df = docs.where("doc_id is not null")
     found = suffixes.removed_runs(df, Scratch(spark)).collect()
     expected = Counter((i, len(raw(t)), tuple(r), suffixes.without(raw(t), r)) for (i, t), r in zip(some, want))
     assert Counter((r.doc_id, r.n_bytes, tuple((u.begin, u.end) for u in r.runs), bytes(r.kept_bytes)) for r in found) == expected
@@ -576,7 +578,32 @@ def test_repeated_strings_of_low_entropy(spark, monkeypatch):
     texts = ["".join(rng.choice([*base, "x" * rng.randrange(1, 500), "".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(300)))]) for _ in range(rng.randrange(6)))[rng.randrange(30) :] for _ in range(60)] + ["é" * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     found = {r.doc_id: [(u.begin, u.end) for u in r.runs] for r in suffixes.removed_runs(df, Scratch(spark)).collect()}
-    assert found == dict(enumerate(suffixes.brute([t.encode() for t in texts])))
+    assert found == dict(enumerate(repeated_runs([t.encode() for t in texts])))
+
+
+def test_few_long_texts_fill_several_buckets(spark, monkeypatch):
+    """Splitters come from suffixes, not rows; copies in long texts are found across pieces and buckets."""
+    rng = random.Random(9)
+    monkeypatch.setattr(suffixes, "BUCKET_ROWS", 1 << 10)
+    body = [bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(130_000)).decode() for _ in range(3)]
+    texts = [body[0], body[1] + body[0][40_000:41_000], body[2] + body[2][70_000:70_500], body[1][100:400]]
+    made = []
+    plan = suffixes.Splitters.__init__
+    monkeypatch.setattr(suffixes.Splitters, "__init__", lambda self, sample, buckets: (plan(self, sample, buckets), made.append(len(self.keys)))[0])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(u.begin, u.end) for u in r.runs] for r in suffixes.removed_runs(df, Scratch(spark)).collect()}
+    assert found == dict(enumerate(repeated_runs([t.encode() for t in texts]))) and all(found[i] for i in (0, 1, 2, 3))
+    assert made[0] >= 4
+
+
+def test_suffixes_sort_by_their_text():
+    rng = random.Random(10)
+    keys = suffixes.np.array([[rng.randrange(3) for _ in range(5)] for _ in range(400)], dtype=suffixes.np.uint64)
+    order, depths = suffixes.multikey_sort([keys[:, k].copy() for k in range(5)])
+    rows = [tuple(r) for r in keys.tolist()]
+    assert [rows[i] for i in order] == sorted(rows)
+    for d, begins in enumerate(depths):
+        assert begins.tolist() == [i == 0 or rows[order[i]][: d + 1] != rows[order[i - 1]][: d + 1] for i in range(400)]
 
 
 def test_empty_tables(spark, empty):

@@ -9,6 +9,8 @@ import pytest
 from glyphflow.llm import decontaminate, simhash, suffixes
 from glyphflow.llm import queries as registered
 
+from plain import repeated_runs
+
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
@@ -44,7 +46,7 @@ def test_stages_and_run(spark):
     assert {r.doc_id for r in found["near-duplicates"].collect()} == leaders
     ids = sorted(leaders)
     raw = [kept[i].encode() for i in ids]
-    cut = {i: suffixes.without(t, suffixes.whole_letters(t, runs)).decode() for i, t, runs in zip(ids, raw, suffixes.brute(raw))}
+    cut = {i: suffixes.without(t, suffixes.whole_letters(t, runs)).decode() for i, t, runs in zip(ids, raw, repeated_runs(raw))}
     assert {r.doc_id: r.text for r in found["repeated passages"].collect()} == cut
     items = [(r.item_id, r.text.encode()) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     index = decontaminate.Phrases(items)
