@@ -36,7 +36,7 @@ from .common import Scratch, decoded, neutral, slices, text_column, texts
 
 SPAN, REACH = 200, 128
 #: Leading bytes that order suffixes at anchors (any string of SPAN bytes holds SPAN - REACH + 1 from its anchor on), and single strings.
-LEAD, STRING_LEAD = 64, 16
+LEAD, STRING_LEAD = 64, 8
 #: Suffixes in a bucket as planned, keys in the sample for a bucket and at least, bytes that are worked on at once.
 BUCKET_ROWS, SAMPLE_KEYS, LEAST_KEYS, CHUNK = 1 << 18, 16, 4096, 1 << 20
 #: Of a sampled row (or piece of PIECE bytes of a longer one), every STEP-th suffix is in the sample.
@@ -216,11 +216,11 @@ def bucket_count(expected: int, spark) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // BUCKET_ROWS))
 
 
-def sorted_buckets(rows: DataFrame, records, sample: np.ndarray, expected: int, scratch: Scratch, lead: int) -> DataFrame:
-    """(row, tag, first, last, full): records that share the leading bytes with another one; full if the digest too.
+def sorted_buckets(rows: DataFrame, records, sample: np.ndarray, expected: int, scratch: Scratch, lead: int, part: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(row, tag, first, last, full): records that share the leading bytes with another one, full if the digest too; and the written table below.
 
     Where records of one lead differ in the digest, one of each set of equal ones comes a second time as not full.
-    records(batches) gives keys (lead bytes and the digest) and the columns of PLACE.
+    Without part, full ones only. records(batches) gives keys (lead bytes and the digest) and the columns of PLACE.
     """
     spark = rows.sparkSession
     buckets, words = bucket_count(expected, spark), lead // 8 + 2
@@ -267,8 +267,8 @@ def sorted_buckets(rows: DataFrame, records, sample: np.ndarray, expected: int,
         mixed = np.bincount(run, weights=~full) > 0
         mixed[[0, -1]] = True
         stands = np.where(depths[-1] & full & mixed[run])[0]
-        hit = np.concatenate([np.where(shared)[0], stands])
-        full_hit = np.concatenate([full[shared], np.zeros(len(stands), dtype=bool)])
+        hit = np.concatenate([np.where(shared)[0], stands]) if part else np.where(full)[0]
+        full_hit = np.concatenate([full[shared], np.zeros(len(stands), dtype=bool)]) if part else np.ones(len(hit), dtype=bool)
 
         def batch(x, whole, *more):
             first = cols["first"][x].astype(np.int64)
@@ -289,8 +289,8 @@ def sorted_buckets(rows: DataFrame, records, sample: np.ndarray, expected: int,
     in_order = Window.orderBy("bucket", "side")
     beside = lambda c: F.when(F.col("side") == 0, F.lag(c).over(in_order)).otherwise(F.lead(c).over(in_order))
     edges = found.where("side is not null").select("*", beside("bucket").alias("b"), beside("lead").alias("l"), beside("digest").alias("d")).where("b <> bucket and l = lead")
-    more = edges.select("row", "tag", "first", "last", F.explode(F.array(F.col("d") == F.col("digest"), F.lit(False))).alias("full"))
-    return found.where("side is null").select("row", "tag", "first", "last", "full").union(more)
+    more = edges.select("row", "tag", "first", "last", F.explode(F.array(F.col("d") == F.col("digest"), F.lit(False))).alias("full")).where(F.lit(part) | F.col("full"))
+    return found.where("side is null").select("row", "tag", "first", "last", "full").union(more), found
 
 
 def cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -343,9 +343,10 @@ def repeated_spans(df: DataFrame, scratch: Scratch, text_col: str = "text", id_c
             yield [c[::STEP] for c in cols]
 
     chosen = source.where((F.octet_length("_text") > PIECE) | (F.pmod(F.xxhash64("_row", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))))
-    hits = sorted_buckets(source, first_round, sampled(chosen, some_units, LEAD // 8 + 2), expected, scratch, LEAD)
+    hits, table = sorted_buckets(source, first_round, sampled(chosen, some_units, LEAD // 8 + 2), expected, scratch, LEAD)
     sure, other = F.when(F.col("full"), F.struct("first", "last")), F.when(~F.col("full"), F.struct("first", "last"))
     per_row = scratch.write(hits.groupBy("row", "tag").agg(F.collect_set(sure).alias("sure"), F.collect_set(other).alias("open")))
+    scratch.drop(table)
     both = per_row.select("row", "tag", F.explode("sure").alias("s")).select("row", "tag", "s.first", "s.last")
 
     # second round: the strings of units that share only the leading bytes
@@ -362,12 +363,11 @@ def repeated_spans(df: DataFrame, scratch: Scratch, text_col: str = "text", id_c
 
         some = F.filter("open", lambda o: F.pmod(F.xxhash64("_row", o["first"]), F.lit(1 << 20)) < int(share * (1 << 20)))
         sample = sampled(strings.withColumn("open", some).where(F.size("open") > 0), lambda batches: strings_of(batches, STEP), STRING_LEAD // 8 + 2)
-        singles = sorted_buckets(strings, strings_of, sample, n, scratch, STRING_LEAD)
-        both = both.union(singles.where("full").select("row", "tag", "first", "last"))
-    spans = scratch.write(both.groupBy("row", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
-    if n:
+        singles, table = sorted_buckets(strings, strings_of, sample, n, scratch, STRING_LEAD, part=False)
         scratch.drop(strings)
-    scratch.drop(per_row)
+        both = both.union(singles.select("row", "tag", "first", "last"))
+    spans = scratch.write(both.groupBy("row", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
+    scratch.drop(per_row, table)
     return spans
 
 
