@@ -15,6 +15,7 @@ hit words, but no item is counted for them. Repeated rows are judged each.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -266,11 +267,23 @@ def find_spans(df: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col:
     for p in parts[1:]:
         whole = whole.unionByName(p)
     met = whole.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = F.expr("""aggregate(spans, cast(array() as array<struct<first: bigint, after: bigint>>), (acc, x) -> case
-        when size(acc) > 0 and x.first <= element_at(acc, -1).after then concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'after', greatest(element_at(acc, -1).after, x.after))))
-        else concat(acc, array(x)) end)""")
     keep = [c for c in keep if c.lower() not in ("n_words", "spans", "items")]
-    return numbered.select("_row", *[name[c] for c in keep]).join(met.withColumn("spans", merged), "_row").drop("_row").toDF(*keep, "n_words", "spans", "items")
+    return numbered.select("_row", *[name[c] for c in keep]).join(met.mapInArrow(_merged, met.schema), "_row").drop("_row").toDF(*keep, "n_words", "spans", "items")
+
+
+def _merged(batches):
+    """Rows whose sorted spans may touch or overlap, with merged ones."""
+    for batch in batches:
+        rows = batch.to_pylist()
+        for r in rows:
+            spans: list[dict] = []
+            for x in r["spans"]:
+                if spans and x["first"] <= spans[-1]["after"]:
+                    spans[-1]["after"] = max(spans[-1]["after"], x["after"])
+                else:
+                    spans.append(dict(x))
+            r["spans"] = spans
+        yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
 
 def _first_two(blocks):
