@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import artifacts, boxes, caching, discovery, models, pages, requests, session, stats, streams, texts
+from .plans import artifacts, boxes, caching, discovery, models, pages, pixels, requests, session, stats, streams, texts
 
-MODULES = (boxes, texts, pages, stats, discovery, caching, requests, models, streams, session, artifacts)
+MODULES = (boxes, texts, pages, stats, discovery, caching, requests, models, streams, session, artifacts, pixels)
 
 
 def queries():
