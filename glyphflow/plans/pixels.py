@@ -51,10 +51,9 @@ def text_masks(spark, sf):
 @query()
 def morph_bounds(spark, sf):
     """Patches on a white ground of 40 x 40: where the text is."""
-    on = F.col("vec_id") % 30
-    inside = lambda k: (k % 40 >= on) & (k % 40 < on + 8) & (F.floor(k / 40) >= 10) & (F.floor(k / 40) < 18)
-    at = lambda k: ((F.floor(k / 40) - 10) * 8 + k % 40 - on).cast("int")
-    ground = L.let(L.grey(F.col("px")), lambda p: F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda k: F.when(inside(k), F.floor(F.get(p, at(k))).cast("int")).otherwise(F.lit(255))))
+    on, levels = (F.col("vec_id") % 30).cast("int"), F.transform(L.grey(F.col("px")), lambda v: F.floor(v).cast("int"))
+    white = lambda n: F.array_repeat(F.lit(255), n)
+    ground = F.concat(white(400), *[F.concat(white(on), F.slice(levels, 8 * i + 1, 8), white(32 - on)) for i in range(8)], white(880))
     b = view(spark, sf, "patches").select("vec_id", P.morphological_bounds(ground, F.lit(40), F.lit(40), F.lit(1)).alias("b"))
     return b.select("vec_id", "b.min_x", "b.min_y", "b.max_x", "b.max_y")
 
