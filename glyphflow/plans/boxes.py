@@ -223,7 +223,13 @@ def group_boxes(spark, sf):
     return D.merge_groups(b).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+_PAIR = "list_filter(flatten(list_transform(range(1, len(bs) + 1), lambda i: list_transform(range(i + 1, len(bs) + 1), lambda j: {'i': i, 'j': j, 'a': bs[i], 'b': bs[j]}))), lambda p: p.a.x0 - 30 <= p.b.x1 AND p.a.x1 + 30 >= p.b.x0 AND p.a.y0 - 30 <= p.b.y1 AND p.a.y1 + 30 >= p.b.y0)[1]"
+
+
+@query(f"""{with_views("boxes", recursive=True)}, r AS (SELECT page_id, 0 AS step, list({{'x0': min_x, 'y0': min_y, 'x1': max_x, 'y1': max_y}}) AS bs FROM boxes WHERE (max_x - min_x) * (max_y - min_y) >= 100 GROUP BY page_id
+ UNION ALL SELECT page_id, step + 1, list_append(list_transform(list_filter(range(1, len(bs) + 1), lambda k: k <> p.i AND k <> p.j), lambda k: bs[k]), {{'x0': least(p.a.x0, p.b.x0), 'y0': least(p.a.y0, p.b.y0), 'x1': greatest(p.a.x1, p.b.x1), 'y1': greatest(p.a.y1, p.b.y1)}})
+ FROM (SELECT *, {_PAIR} AS p FROM r) z WHERE p IS NOT NULL), d AS (SELECT page_id, unnest(arg_max(bs, step)) AS b FROM r GROUP BY page_id)
+ SELECT page_id, b.x0 AS min_x, b.y0 AS min_y, b.x1 AS max_x, b.y1 AS max_y, 0.9::DOUBLE AS confidence FROM d WHERE (b.x1 - b.x0) * (b.y1 - b.y0) >= 500""")
 def derive_blocks(spark, sf):
     return D.derive_blocks(view(spark, sf, "boxes").where("(max_x - min_x) * (max_y - min_y) >= 100"))
 

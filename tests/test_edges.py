@@ -205,3 +205,20 @@ def test_session_helpers(spark):
     assert got == {1: ("French", True, None, 1), 2: ("English", False, S.NO_IMAGE, None), 3: ("English", False, S.NO_IMAGE, None)}
     o = spark.createDataFrame([(1, 0, "blk", 3), (1, 1, "seg", 4), (1, 2, "det", 4), (2, 0, "a", 3), (2, 1, "b", 4), (2, 2, "c", 4), (3, 0, "a", 2), (4, 0, "mask", 3), (4, 1, "x", 3)], "m int, pos int, name string, ndim int")
     assert {r.m: (r.blocks, r["mask"], r.lines) for r in S.output_roles(o, "m").collect()} == {1: (0, 1, 2), 2: (0, 1, 2), 3: (None, None, None), 4: (0, 0, 1)}
+
+
+def test_percentiles_of_many_values(spark):
+    import numpy as np
+
+    from glyphflow.operators import stats
+
+    rng = random.Random(9)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(5000)], "b": [float(rng.randrange(3)) for _ in range(3000)], "c": [1.5], "d": [2.0, 1.0], None: [float(x) for x in range(700)], "e": [rng.random() ** 9 for _ in range(901)]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("f", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    for accuracy in (50, 1000, 10_000):  # most groups are larger than the first, none than the last
+        got = {r.k: r.p for r in stats.percentiles(df, "k", "v", accuracy=accuracy).collect()}
+        assert got.pop("f") is None and got.keys() == groups.keys()
+        for k, vs in groups.items():
+            assert np.allclose(got[k], np.percentile(vs, [50, 95, 99]), rtol=0, atol=1e-12)
+    assert stats.percentiles(df.limit(0), "k", "v").count() == 0
