@@ -70,6 +70,34 @@ def css_url(style: Column) -> Column:
     return F.nullif(F.regexp_extract(style, "url\\([\"']?([^\"')]+)[\"']?\\)", 1), F.lit(""))
 
 
+#: Elements that may have a background image, and parts of a page that hold no elements.
+GROUNDS = ("div", "section", "article", "main")
+HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, in quotes or bare; null without it."""
+    value = F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)", 1)
+    return F.when(value != "", F.regexp_replace(value, "^[\"']|[\"']$", ""))
+
+
+def elements(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, pos, kind, url, width and height of what may hold a picture: images, canvases, and grounds with a picture.
+
+    From the markup alone: pos counts the opening tags of these elements, sizes are those that attributes give (null for
+    none or no number), and a canvas has no url. Comments, scripts and styles are left out; a tag ends at its first >. A
+    null page has no elements.
+    """
+    names = "|".join(("img", "canvas", *GROUNDS))
+    tags = F.regexp_extract_all(F.regexp_replace(F.col(html), HIDDEN, " "), F.lit(f"(?is)<(?:{names})(?:\\s[^>]*)?>"), F.lit(0))
+    each = pages.select(key, F.posexplode(tags).alias("pos", "tag"))
+    kind = F.lower(F.regexp_extract("tag", "(?i)^<([a-z]+)", 1))
+    each = each.select(key, "pos", F.when(kind.isin(*GROUNDS), "background").otherwise(kind).alias("kind"), "tag")
+    url = F.when(F.col("kind") == "img", attribute(F.col("tag"), "src")).when(F.col("kind") == "background", css_url(attribute(F.col("tag"), "style")))
+    size = lambda name: F.try_to_number(F.nullif(F.regexp_extract(attribute(F.col("tag"), name), "^\\s*([0-9]{1,9})\\s*(?:px)?\\s*$", 1), F.lit("")), F.lit("999999999")).cast("int").alias(name)
+    return each.select(key, "pos", "kind", url.alias("url"), size("width"), size("height")).where((F.col("kind") != "background") | F.col("url").isNotNull())
+
+
 def hostname(url: Column) -> Column:
     """Without the port."""
     return F.nullif(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))

@@ -121,3 +121,18 @@ def validate_message(spark, sf):
 def validate_snapshot(spark, sf):
     dims = F.expr("case when o_orderkey % 8 <> 0 then named_struct('top', case when o_orderkey % 5 <> 0 then 1 end, 'left', 2, 'width', case when o_orderkey % 3 <> 0 then 3 end, 'height', 4) end")
     return view(spark, sf, "orders").select("o_orderkey", D.snapshot_message_error(F.expr("case when o_orderkey % 9 = 0 then '' else 'en' end"), dims).alias("error"))
+
+
+_HTML = """'<!DOCTYPE html><IMG class=x src="/i' || page_id || '.png" width="' || (60 + page_id % 100) || '" height=''120px''><!-- <img src=/no.png> --><div style="background-image: url(/b.jpg)"><canvas width=300 height=x><script>"<img src=/no.png>"</script><img>' || html"""
+_ATTRIBUTE = """nullif(regexp_replace(regexp_extract(tag, '(?is)\\s{0}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)', 1), '^["'']|["'']$', '', 'g'), '')"""
+_SIDE = "CAST(nullif(regexp_extract(" + _ATTRIBUTE + ", '^\\s*([0-9]{{1,9}})\\s*(?:px)?\\s*$', 1), '') AS INT)"
+
+
+@query(f"""WITH t AS (SELECT page_id, regexp_extract_all(regexp_replace({_HTML}, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<(?:img|canvas|div|section|article|main)(?:\\s[^>]*)?>') AS tags FROM pages),
+ e AS (SELECT page_id, pos::INT AS pos, tags[pos + 1] AS tag FROM (SELECT page_id, tags, unnest(range(len(tags))) AS pos FROM t) z), k AS (SELECT *, lower(regexp_extract(tag, '(?i)^<([a-z]+)', 1)) AS kind FROM e)
+ SELECT * FROM (SELECT page_id, pos, CASE WHEN kind IN ('div', 'section', 'article', 'main') THEN 'background' ELSE kind END AS kind, CASE WHEN kind = 'img' THEN {_ATTRIBUTE.format('src')}
+ WHEN kind <> 'canvas' THEN nullif(regexp_extract({_ATTRIBUTE.format('style')}, 'url\\(["'']?([^"'')]+)["'']?\\)', 1), '') END AS url, {_SIDE.format('width')} AS width, {_SIDE.format('height')} AS height FROM k) z WHERE kind <> 'background' OR url IS NOT NULL""")
+def page_elements(spark, sf):
+    """The tables' pages have no pictures, so some markup goes before each."""
+    p = view(spark, sf, "pages").select("page_id", F.expr(_HTML.replace("''120px''", "\\'120px\\'")).alias("html"))
+    return D.elements(p, "page_id", "html")

@@ -222,3 +222,15 @@ def test_percentiles_of_many_values(spark):
         for k, vs in groups.items():
             assert np.allclose(got[k], np.percentile(vs, [50, 95, 99]), rtol=0, atol=1e-12)
     assert stats.percentiles(df.limit(0), "k", "v").count() == 0
+
+
+def test_elements_of_markup(spark):
+    from glyphflow.operators import discovery
+
+    html = """<img src='a b.png' WIDTH = "640" height=480px><IMG SRC=c.png width="50%"><image src=x><div
+ style='background: red url("d.jpg") no-repeat' width=10><div class=y><SECTION style="background-image:url(e.jpg)"><canvas height=9999999999>
+ <!-- <img src=f> --> <style>.x{background:url(g)}</style><script>'<canvas>'</script><main style="color:red"><article data-style="url(h)"><img data-src=i>"""
+    rows = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<p>no</p>")], "page_id int, html string")
+    got = [tuple(r) for r in discovery.elements(rows, "page_id", "html").orderBy("pos").collect()]
+    # div 3, main 6 and article 7 have no picture
+    assert got == [(1, 0, "img", "a b.png", 640, 480), (1, 1, "img", "c.png", None, None), (1, 2, "background", "d.jpg", 10, None), (1, 4, "background", "e.jpg", None, None), (1, 5, "canvas", None, None, None), (1, 8, "img", None, None, None)]
