@@ -7,6 +7,7 @@ fixed answers, so that plans can be built and tested; others are added with regi
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,30 @@ def _isolated(run, values: list, fallback):
         return out
 
 
+def first_provider(*loads: Callable[[], Callable]) -> Callable[[], Callable]:
+    """A load() that takes the first provider that loads; the last one's error if none does."""
+
+    def load():
+        for one in loads[:-1]:
+            try:
+                return one()
+            except Exception:
+                continue
+        return loads[-1]()
+
+    return load
+
+
+def one_by_one(load: Callable[[], Callable]) -> Callable[[], Callable]:
+    """A model that takes its inputs one after another, in order."""
+
+    def opened():
+        m = load()
+        return lambda values: [m([v])[0] for v in values]
+
+    return opened
+
+
 def detect(image: Column, name: str = "stub") -> Column:
     """An array of boxes for each image; an image that fails has none."""
     load = model("detect", name)
@@ -88,6 +113,35 @@ def translate(text: Column, lang: Column, name: str = "stub") -> Column:
     return run.asNondeterministic()(text, lang)
 
 
+def read_and_translate(crop: Column, lang: Column, reader: str = "stub", translator: str = "stub", size: int = 64) -> Column:
+    """{value, translated, error}: texts are translated while the next crops are read, in groups of `size` a worker.
+
+    Blank texts are not translated (they give ''); crops that can't be read have '' and the error, translations that fail ''.
+    """
+    load_reader, load_translator = model("ocr", reader), model("translate", translator)
+
+    @F.pandas_udf("value string, translated string, error string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        read, say = load_reader(), load_translator()
+
+        def turned(texts, langs):
+            asked = [i for i, t in enumerate(texts) if t.strip()]
+            said = dict(zip(asked, (x for x, _ in _isolated(say, [(texts[i], langs[i]) for i in asked], ""))))
+            return [said.get(i, "") for i in range(len(texts))]
+
+        with ThreadPoolExecutor(1) as pool:
+            for crops, langs in batches:
+                crops, langs = crops.fillna("").tolist(), langs.fillna("").tolist()
+                rows, running = [], []
+                for i in range(0, len(crops), size):
+                    part = _isolated(read, crops[i : i + size], "")
+                    rows += part
+                    running.append(pool.submit(turned, [t for t, _ in part], langs[i : i + size]))
+                yield pd.DataFrame({"value": [t for t, _ in rows], "translated": [x for r in running for x in r.result()], "error": [e for _, e in rows]}, dtype=object)
+
+    return run.asNondeterministic()(crop, lang)
+
+
 def translate_distinct(rows: DataFrame, text: str, lang: str, name: str = "stub") -> DataFrame:
     """Adds `translated`; each distinct text and language goes to the model once, blank texts never (they give '')."""
     filled = F.regexp_replace(F.col(text), "(?U)^\\s+|\\s+$", "") != ""
@@ -108,3 +162,11 @@ def strict_upper() -> Callable:
 
 
 register("ocr", "strict", strict_upper)
+
+
+def _no_device():
+    raise RuntimeError("no such device")
+
+
+register("ocr", "fallback", first_provider(_no_device, model("ocr", "stub")))
+register("ocr", "ordered", one_by_one(model("ocr", "stub")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -9,7 +11,10 @@ from pyspark.sql.window import Window as W
 LANGUAGE = "English"
 #: Shares of a crop's area between which the bounds of its text may lie.
 LEAST_SHARE, MOST_SHARE = 0.01, 0.95
-# Fixed value: the reply to a frame that holds no image.
+#: How long an answer may take, and how far beyond the view's edges elements count as coming.
+TIMEOUT_MS, MARGIN = 30_000, 100
+# The replies to a frame that holds no image, and to one whose answer takes too long.
+TIMED_OUT = "WebSocket request timeout"
 NO_IMAGE = "Invalid image data - could not decode"
 
 
@@ -36,6 +41,35 @@ def replies(frames: DataFrame, content: str, path: str, answer: Column) -> DataF
     return frames.withColumns({"target_language": language_of_path(F.col(path)), "success": ~bad, "error": F.when(bad, NO_IMAGE), "answer": F.when(~bad, answer)}).drop(content, path)
 
 
+def connections(calls: DataFrame, session: str, order: str, language: str, took_ms: str) -> DataFrame:
+    """Adds connection, opened, and error to a session's calls: a connection lasts until the language changes.
+
+    Null languages count as one language. Calls whose answer takes longer than TIMEOUT_MS fail, and the connection stays.
+    """
+    w = W.partitionBy(session).orderBy(order)
+    lang = F.struct(language)
+    rows = calls.withColumn("opened", ~F.lag(lang).over(w).eqNullSafe(lang))
+    return rows.withColumns({"connection": F.count_if("opened").over(w.rowsBetween(W.unboundedPreceding, 0)), "error": F.when(F.col(took_ms) > TIMEOUT_MS, TIMED_OUT)})
+
+
+def entered_view(places: DataFrame, key: str, order: str, width: int, height: int, margin: int = MARGIN) -> DataFrame:
+    """The observations at which an element comes into the view, widened by the margin; the first counts if it is inside.
+
+    places: key, order and left_px, top_px, width, height. Touching edges are inside.
+    """
+    c = F.col
+    inside = (c("left_px") <= width + margin) & (c("left_px") + c("width") >= -margin) & (c("top_px") <= height + margin) & (c("top_px") + c("height") >= -margin)
+    rows = places.withColumn("_in", F.coalesce(inside, F.lit(False)))
+    return rows.withColumn("_was", F.lag("_in", 1, False).over(W.partitionBy(key).orderBy(order))).where("_in and not _was").drop("_in", "_was")
+
+
+def debug_timing(frame: Column, total: Column, **stages: Column) -> Column:
+    """The debug part of a reply: bytes of the frame, each stage, their sum, what they leave of the total; two decimals."""
+    whole = reduce(lambda a, b: a + b, stages.values())
+    parts = {**{f"{k}_ms": v for k, v in stages.items()}, "measured_sum_ms": whole, "gap_ms": total - whole, "request_total_ms": total}
+    return F.struct(F.octet_length(frame).alias("ws_frame_bytes"), *[F.round(v, 2).alias(k) for k, v in parts.items()])
+
+
 def partial_results(boxes: DataFrame, images: DataFrame, key: str, order: str) -> DataFrame:
     """key, seq, done and the boxes' other columns: each image's boxes in order, then a last row that only says done."""
     fields = [c for c in boxes.columns if c not in (key, order)]

@@ -114,3 +114,15 @@ def persisted_cache(spark, sf):
     where = f"{_folder(spark, 'cache')}/none"
     first = runs.upsert_cache(d.where("doc_id % 2 = 0"), where, "key", "doc_id")
     return runs.upsert_cache(d.where("doc_id % 2 = 1"), first.inputFiles()[0].rpartition("/")[0], "key", "doc_id") if first.head(1) else first
+
+
+@query("SELECT n_nationkey::INT AS class_id, n_name AS name, 25 AS classes, 'images/train' AS train FROM nation")
+def dataset_config(spark, sf):
+    """A dataset's YAML file, written and read back: its classes by number."""
+    where = _folder(spark, "config")
+    names = [r.n_name for r in view(spark, sf, "nation").orderBy("n_nationkey").select("n_name").collect()]  # 25 rows
+    lines = ["# dataset", "train: images/train", f"nc: {len(names)}", "names:", *[f"  - '{x}'" for x in names]]
+    files.put_files(spark, where, {"data.yaml": "\n".join(lines).encode()})
+    found = files.config(spark, f"{where}/data.yaml")
+    rows = [(i, x, found["nc"], found["train"]) for i, x in enumerate(found["names"])]
+    return spark.createDataFrame(rows, "class_id int, name string, classes int, train string")

@@ -42,3 +42,21 @@ def error_isolation(spark, sf):
     d = view(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("id "), F.col("doc_id"))).otherwise(F.concat("lang", F.left("source", F.lit(3)))).alias("t"))
     r = d.select("doc_id", M.ocr(F.col("t"), "strict").alias("r"))
     return r.select("doc_id", "r.value", "r.error")
+
+
+@query(SQL["ocr_udf"])
+def provider_fallback(spark, sf):
+    """The first provider doesn't load, the second does."""
+    return view(spark, sf, "documents").select("doc_id", M.ocr(F.col("text"), "fallback")["value"].alias("ocr_text"))
+
+
+@query(SQL["ocr_udf"])
+def sequential_map(spark, sf):
+    return view(spark, sf, "documents").select("doc_id", M.ocr(F.col("text"), "ordered")["value"].alias("ocr_text"))
+
+
+@query("SELECT conv_id, turn, role, text || '.' AS value, '[' || l || '] .' || reverse(text) AS translated FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN 'de' ELSE 'fr' END AS l FROM conversations) z")
+def read_and_translate(spark, sf):
+    """Both models in one pass: no shuffle between them."""
+    lang = F.when(F.col("turn") % 2 == 0, "de").otherwise("fr")
+    return view(spark, sf, "conversations").select("conv_id", "turn", "role", M.read_and_translate(F.col("text"), lang).alias("r")).select("conv_id", "turn", "role", "r.value", "r.translated")

@@ -64,3 +64,17 @@ def folder_sizes(spark, sf):
 @query("SELECT doc_id, 'data:' || CASE WHEN doc_id % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END || ';base64,' || base64(encode(text)) AS uri FROM documents")
 def upload_uri(spark, sf):
     return view(spark, sf, "documents").select("doc_id", files.data_uri(F.col("text").cast("binary"), F.when(F.col("doc_id") % 2 == 0, "image/png")).alias("uri"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'English' ELSE c_mktsegment END AS language, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS name FROM customer")
+def settings_reset(spark, sf):
+    t = view(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("language"), F.col("c_name").alias("name"))
+    return requests.reset(t, t.where("c_custkey % 4 = 0"), "c_custkey", {"language": "English"})
+
+
+@query("SELECT conv_id, turn, role, turn % 3 <> 2 AS success, CASE WHEN turn % 3 <> 2 THEN md5('data:image/png;base64,' || base64(encode(text))) END AS digest, turn % 3 = 2 AS failed FROM conversations")
+def fetched_images(spark, sf):
+    """Addresses that hold their own bytes; every third is of a scheme that can't be opened."""
+    uri = F.when(F.col("turn") % 3 != 2, F.concat(F.lit("data:image/png;base64,"), encoded(F.col("text").cast("binary")))).otherwise(F.concat(F.lit("none:"), "conv_id"))
+    c = view(spark, sf, "conversations").select("conv_id", "turn", "role", uri.alias("uri"))
+    return requests.fetched(c, "uri").select("conv_id", "turn", "role", "success", F.md5("content").alias("digest"), F.col("error").isNotNull().alias("failed"))

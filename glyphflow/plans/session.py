@@ -128,3 +128,34 @@ def reply_lines(spark, sf):
 def translatable(spark, sf):
     e = view(spark, sf, "elements").withColumn("translated", F.when(F.col("element_id") % 4 == 0, "true"))
     return D.translatable(e).select("element_id")
+
+
+@query("""SELECT event_id, opened, count(*) FILTER (WHERE opened) OVER (PARTITION BY user_id ORDER BY event_id) AS connection, CASE WHEN ms > 30000 THEN 'WebSocket request timeout' END AS error
+ FROM (SELECT event_id, user_id, (event_id * 7919) % 40000 AS ms, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type AS opened FROM events) z""")
+def connections(spark, sf):
+    e = view(spark, sf, "events").selectExpr("event_id", "user_id", "event_type", "(event_id * 7919) % 40000 as ms")
+    return S.connections(e, "user_id", "event_id", "event_type", "ms").select("event_id", "opened", "connection", "error")
+
+
+_PLACE = "event_id, user_id, CAST((event_id * 91) % 3000 - 800 AS INT) AS left_px, CAST((event_id * 67) % 2400 - 700 AS INT) AS top_px, CAST(event_id % 300 AS INT) AS width, CAST(user_id % 200 AS INT) AS height"
+
+
+@query(f"""WITH p AS (SELECT {_PLACE} FROM events), i AS (SELECT event_id, user_id, left_px <= 1380 AND left_px + width >= -100 AND top_px <= 820 AND top_px + height >= -100 AS ok FROM p),
+ w AS (SELECT event_id, ok, lag(ok, 1, FALSE) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM i) SELECT event_id FROM w WHERE ok AND NOT was""")
+def entered_view(spark, sf):
+    """Each user's events stand for the places of one element while the page scrolls."""
+    places = view(spark, sf, "events").selectExpr(*_PLACE.split(", "))
+    return S.entered_view(places, "user_id", "event_id", 1280, 720).select("event_id")
+
+
+_STAGES = "(turn % 7) * 1.25::DOUBLE AS detection_ms, length(text) * 0.5::DOUBLE AS ocr_ms, length(text) * 0.5::DOUBLE + 100.125::DOUBLE AS total"
+
+
+@query(f"""SELECT conv_id, turn, role, octet_length(encode(text))::INT AS ws_frame_bytes, round(detection_ms, 2) AS detection_ms, round(ocr_ms, 2) AS ocr_ms, round(detection_ms + ocr_ms, 2) AS measured_sum_ms,
+ round(total - (detection_ms + ocr_ms), 2) AS gap_ms, round(total, 2) AS request_total_ms FROM (SELECT *, {_STAGES} FROM conversations) z""")
+def debug_replies(spark, sf):
+    """A stream of frames whose replies carry their timings."""
+    rows = runs.table_stream(spark, f"{sf}/conversations.parquet")
+    ocr = F.length("text") * 0.5
+    done = rows.select("conv_id", "turn", "role", S.debug_timing(F.col("text"), ocr + 100.125, detection=(F.col("turn") % 7) * 1.25, ocr=ocr).alias("d")).select("conv_id", "turn", "role", "d.*")
+    return runs.drained(spark, done, done.schema)

@@ -28,7 +28,15 @@ _FRAMES = with_views("canvas_frames")
 def canvas_change_stream(spark, sf):
     events = runs.table_stream(spark, f"{sf}/events.parquet")
     frames = events.selectExpr("event_id", "user_id as canvas_id", "ts", "cast(floor(value) as bigint) % 7 as px_sum")
-    return runs.drained(spark, canvas.change_stream(frames), canvas.SCHEMA)
+    return runs.drained(spark, frames, canvas.SCHEMA, step=lambda out: canvas.change_steps(spark, out))
+
+
+@query(SQL["canvas_change_stream"])
+def canvas_polled(spark, sf):
+    """The same with one stateful operator, whose batches start every second."""
+    events = runs.table_stream(spark, f"{sf}/events.parquet")
+    frames = events.selectExpr("event_id", "user_id as canvas_id", "ts", "cast(floor(value) as bigint) % 7 as px_sum")
+    return runs.drained(spark, canvas.change_stream(frames), canvas.SCHEMA, interval="1 second")
 
 
 @query("SELECT conv_id, turn, role, md5(text) AS key, CAST(length(text) AS BIGINT) AS chars, length(text) > 0 AS success FROM conversations")

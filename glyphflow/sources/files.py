@@ -69,6 +69,16 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return None
 
 
+def config(spark: SparkSession, path: str) -> dict:
+    """A small YAML file of a dataset or a training run, read through its file system; {} for an empty one."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the yaml module") from e
+    row = spark.read.text(path, wholetext=True).head()
+    return (yaml.safe_load(row.value) if row else None) or {}
+
+
 def put_files(spark: SparkSession, folder: str, contents: dict[str, bytes]) -> None:
     """A few small files, written by the driver through the folder's own file system."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -37,19 +37,27 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def drained(spark: SparkSession, stream: DataFrame, schema) -> DataFrame:
+def drained(spark: SparkSession, stream: DataFrame, schema, interval: str | None = None, step=None) -> DataFrame:
     """All rows that the stream yields for what is there now, written to a shared folder and read back.
 
     Each batch has a folder named by its number and replaces what a failed attempt left there, so no row is written twice.
-    States go when the stream has ended, rows when the session's JVM ends.
+    States go when the stream has ended, rows when the session's JVM ends. With an interval ("1 second") batches start by the
+    clock, as for a stream that runs on. `step`, a function of the output folder, gives another step for each batch, which
+    writes below rows.
     """
     out, state = shared_path(spark, "rows"), shared_path(spark, "state")
-    q = stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
+    each = step(out) if step else lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(**trigger).start()
+    if interval:
+        q.processAllAvailable()
+        q.stop()
+    else:
+        q.awaitTermination()
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     hadoop(state).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(state), True)
     forget(spark, out)
-    return spark.read.schema(schema).parquet(out).select(*schema.names if hasattr(schema, "names") else [x.split()[0] for x in schema.split(", ")])
+    return spark.read.schema(schema).parquet(f"{out}/rows").select(*schema.names if hasattr(schema, "names") else [x.split()[0] for x in schema.split(", ")])
 
 
 def upsert_cache(batch: DataFrame, cache_path: str, key: str, order: str) -> DataFrame:
