@@ -6,7 +6,7 @@ page, and none where its input is already dealt by it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -56,19 +56,27 @@ def from_pages(pages: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return pages.select("page_id", F.explode("bs").alias("b")).select("page_id", *[F.col(f"b.{c}").alias(c) for c in ("box_idx", *G.EDGES, "confidence", *extra)])
 
 
+def suppressed(bs: Column, threshold: float = NMS_IOU) -> Column:
+    """Greedy non-maximum suppression of an array of boxes, the best first."""
+    empty = F.filter(bs, lambda x: F.lit(False))
+    return F.aggregate(bs, empty, lambda acc, x: F.when(F.exists(acc, lambda k: G.iou(k, x) >= threshold), acc).otherwise(F.concat(acc, F.array(x))))
+
+
+def without_outer(bs: Column) -> Column:
+    """Boxes of an array that contain no other of it."""
+    return let(bs, lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: (x["box_idx"] != y["box_idx"]) & G.contains(x, y))))
+
+
 def suppress(boxes: DataFrame, threshold: float = NMS_IOU, extra: tuple[str, ...] = ()) -> DataFrame:
     """Greedy non-maximum suppression: by confidence, a box stays if it overlaps every kept one by less than the threshold."""
     pages = as_pages(boxes, -F.col("confidence"), F.col("box_idx"), extra=extra)
-    empty = F.expr("filter(bs, x -> false)")
-    keep = F.aggregate("bs", empty, lambda acc, x: F.when(F.exists(acc, lambda k: G.iou(k, x) >= threshold), acc).otherwise(F.concat(acc, F.array(x))))
-    return from_pages(pages.select("page_id", keep.alias("bs")), extra)
+    return from_pages(pages.select("page_id", suppressed(F.col("bs"), threshold).alias("bs")), extra)
 
 
 def innermost(boxes: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Boxes that contain no other box of the page; two equal boxes remove each other."""
     pages = as_pages(boxes, F.col("box_idx"), extra=extra)
-    keep = F.filter("bs", lambda x: ~F.exists("bs", lambda y: (x["box_idx"] != y["box_idx"]) & G.contains(x, y)))
-    return from_pages(pages.select("page_id", keep.alias("bs")), extra)
+    return from_pages(pages.select("page_id", without_outer(F.col("bs")).alias("bs")), extra)
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
@@ -78,7 +86,12 @@ def reading_order(boxes: DataFrame) -> DataFrame:
 
 
 def postprocess(raw: DataFrame) -> DataFrame:
-    return reading_order(innermost(suppress(decode_yolo(raw))))
+    """Decoded boxes after suppression, without outer ones, with read_idx: one array a page from end to end."""
+    pages = as_pages(decode_yolo(raw), -F.col("confidence"), F.col("box_idx"))
+    fields = ("box_idx", *G.EDGES, "confidence")
+    keyed = lambda x: F.struct((-x["min_x"]).alias("x"), x["min_y"].alias("y"), (-x["confidence"]).alias("c"), *[x[f].alias(f) for f in fields])
+    ordered = F.sort_array(F.transform(without_outer(suppressed(F.col("bs"))), keyed))
+    return pages.select("page_id", F.posexplode(ordered).alias("read_idx", "b")).select("page_id", *[F.col(f"b.{f}").alias(f) for f in fields], "read_idx")
 
 
 def box_pairs(boxes: DataFrame) -> DataFrame:
@@ -88,9 +101,9 @@ def box_pairs(boxes: DataFrame) -> DataFrame:
     return both.select("page_id", "a", F.explode(F.filter("bs", lambda y: y["box_idx"] > F.col("a")["box_idx"])).alias("b"))
 
 
-def group_numbers(boxes: DataFrame, reach: float = 80.0, overlap: float = 0.5) -> DataFrame:
-    """(page_id, box_idx, group_id): transitive groups of near boxes; a group is named by its smallest index."""
-    pages = as_pages(boxes, F.col("box_idx"))
+def page_groups(boxes: DataFrame, reach: float = 80.0, overlap: float = 0.5, extra: tuple[str, ...] = ()) -> DataFrame:
+    """page_id and gs: the page's transitive groups of near boxes, each an array."""
+    pages = as_pages(boxes, F.col("box_idx"), extra=extra)
     empty = F.expr("filter(transform(bs, x -> array(x)), x -> false)")
 
     def add(acc, x):
@@ -98,18 +111,33 @@ def group_numbers(boxes: DataFrame, reach: float = 80.0, overlap: float = 0.5) -
         met = F.flatten(F.filter(acc, joins))
         return F.concat(F.filter(acc, lambda g: ~joins(g)), F.array(F.concat(met, F.array(x))))
 
-    folded = pages.select("page_id", F.explode(F.aggregate("bs", empty, add)).alias("g"))
-    return folded.select("page_id", F.array_min(F.transform("g", lambda m: m["box_idx"])).alias("group_id"), F.explode("g").alias("m")).select("page_id", F.col("m.box_idx").alias("box_idx"), "group_id")
+    return pages.select("page_id", F.aggregate("bs", empty, add).alias("gs"))
+
+
+def group_numbers(boxes: DataFrame, reach: float = 80.0, overlap: float = 0.5) -> DataFrame:
+    """(page_id, box_idx, group_id): transitive groups of near boxes; a group is named by its smallest index."""
+    groups = page_groups(boxes, reach, overlap).select("page_id", F.explode("gs").alias("g"))
+    return groups.select("page_id", F.array_min(F.transform("g", lambda m: m["box_idx"])).alias("group_id"), F.explode("g").alias("m")).select("page_id", F.col("m.box_idx").alias("box_idx"), "group_id")
 
 
 def merge_groups(boxes: DataFrame, text_col: str = "text") -> DataFrame:
     """A row a group: bounds, mean confidence, text in reading order of centres, members, and the group's place in that order."""
-    numbered = boxes.join(group_numbers(boxes), ["page_id", "box_idx"])
-    cx, cy = (F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2
-    members = F.sort_array(F.collect_list(F.struct((-cx).alias("x"), cy.alias("y"), "box_idx", F.col(text_col).alias("t"))))
-    rows = numbered.groupBy("page_id", "group_id").agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"), F.avg("confidence").alias("confidence"), members.alias("m"))
-    order = W.partitionBy("page_id").orderBy(-(F.col("min_x") + F.col("max_x")), F.col("min_y") + F.col("max_y"), "group_id")
-    return rows.select("page_id", "group_id", *G.EDGES, "confidence", F.array_join(F.col("m.t"), "").alias("text"), F.size("m").alias("members"), (F.row_number().over(order) - 1).cast("int").alias("group_pos"))
+    of = lambda g, f: F.transform(g, lambda m: m[f])
+    known = lambda g: F.filter(of(g, "confidence"), lambda v: v.isNotNull())
+
+    def member(m):
+        return F.struct((-(m["min_x"] + m["max_x"]) / 2).alias("x"), ((m["min_y"] + m["max_y"]) / 2).alias("y"), m["box_idx"].alias("i"), m[text_col].alias("t"))
+
+    def merged(g):
+        text = F.array_join(F.transform(F.sort_array(F.transform(g, member)), lambda m: m["t"]), "")
+        confidence = F.aggregate(known(g), F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(known(g)), F.lit(0))
+        return F.struct(F.array_min(of(g, "box_idx")).alias("group_id"), *[(F.array_min if e.startswith("min") else F.array_max)(of(g, e)).alias(e) for e in G.EDGES], confidence.alias("confidence"), text.alias("text"), F.size(g).alias("members"))
+
+    fields = ("group_id", *G.EDGES, "confidence", "text", "members")
+    keyed = lambda b: F.struct((-(b["min_x"] + b["max_x"])).alias("x"), (b["min_y"] + b["max_y"]).alias("y"), b["group_id"].alias("g"), b.alias("b"))
+    ordered = F.sort_array(F.transform(F.transform("gs", merged), keyed))
+    rows = page_groups(boxes, extra=(text_col,)).select("page_id", F.posexplode(ordered).alias("group_pos", "r"))
+    return rows.select("page_id", *[F.col(f"r.b.{f}").alias(f) for f in fields], "group_pos")
 
 
 def derive_blocks(lines: DataFrame) -> DataFrame:
