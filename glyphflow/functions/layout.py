@@ -68,16 +68,14 @@ def debug_label(z: Column, confidence: Column) -> Column:
 
 
 def wrap(text: Column, width: Column) -> Column:
-    """Greedy lines of words of at most `width` characters (a longer word has a line of its own); no words: the text."""
-    empty = F.expr("named_struct('lines', cast(array() as array<string>), 'now', '')")
-
-    def add(acc, word):
-        longer = F.when(acc["now"] != "", F.concat(acc["now"], F.lit(" "), word)).otherwise(word)
-        full = (F.length(longer) > width) & (acc["now"] != "")
-        return F.struct(F.when(full, F.concat(acc["lines"], F.array(acc["now"]))).otherwise(acc["lines"]).alias("lines"), F.when(full, word).otherwise(longer).alias("now"))
-
-    done = F.aggregate(F.split(text, " "), empty, add, lambda acc: F.when(acc["now"] != "", F.concat(acc["lines"], F.array(acc["now"]))).otherwise(acc["lines"]))
-    return F.when(F.size(done) > 0, done).otherwise(F.array(text))
+    """Greedy lines of words of at most `width` characters (a longer word has a line of its own); no words: the text.
+
+    One pattern finds all lines in one pass: a line starts at what is no space and is the longest run of words that fits, or
+    else one word. A fold over the words would copy the array of lines with each line.
+    """
+    more = F.greatest(width - 1, F.lit(0)).cast("string")
+    lines = F.regexp_extract_all(text, F.concat(F.lit("(?s)[^ ].{0,"), more, F.lit("}(?= |\\z)|[^ ]+|\\A *\\z")), F.lit(0))
+    return F.coalesce(lines, F.array(text))
 
 
 def grey(px: Column) -> Column:

@@ -1,5 +1,6 @@
 """Edge rows by hand, and invariants."""
 
+import hashlib
 import itertools
 import random
 
@@ -197,6 +198,32 @@ def test_wrapping_long_texts(spark):
     assert {r.i: r.l for r in df.select("i", L.wrap(F.col("t"), F.lit(24)).alias("l")).collect()} == dict(enumerate(map(slow, texts)))
 
 
+def test_wrapping_takes_time_by_length(spark):
+    import time
+
+    words = ["ab" * (1 + i % 9) for i in range(400_000)]
+    lines, now = [], ""
+    for w in words:
+        longer = f"{now} {w}" if now else w
+        if len(longer) > 24:
+            lines.append(now)
+            longer = w
+        now = longer
+    lines.append(now)
+    df = spark.createDataFrame([(" ".join(words),)], "t string").select(L.wrap(F.col("t"), F.lit(24)).alias("l")).select(F.size("l").alias("n"), F.md5(F.array_join("l", "|")).alias("h"))
+    began = time.time()
+    got = df.first()
+    assert time.time() - began < 30
+    assert (got.n, got.h) == (len(lines), hashlib.md5("|".join(lines).encode()).hexdigest())
+
+
+def test_wrapping_keeps_spaces_and_counts_code_points(spark):
+    texts = {"x" * 24 + "  y": ["x" * 24, "y"], "x" * 23 + "  y": ["x" * 23 + " ", "y"], "a  ": ["a  "], "   a": ["a"], "   ": ["   "], "😀" * 24 + " b": ["😀" * 24, "b"], "a\n b\n": ["a\n b\n"], None: [None]}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.l for r in df.select("t", L.wrap(F.col("t"), F.lit(24)).alias("l")).collect()} == texts
+    assert df.select(L.wrap(F.lit("a bc  d"), F.lit(0)).alias("l")).first().l == ["a", "bc", "d"]
+
+
 def test_session_helpers(spark):
     from glyphflow.operators import session as S
 
