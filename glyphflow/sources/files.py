@@ -9,6 +9,7 @@ from ..operators.cache import encoded
 
 IMAGE_GLOB = "*.{jpg,jpeg,png,webp}"
 REPORT = "timestamp string, device_info map<string, string>, config map<string, string>, benchmarks map<string, struct<mean_ms: double, median_ms: double, std_ms: double, min_ms: double, max_ms: double, p50_ms: double, p95_ms: double, p99_ms: double, cv_percent: double, fps: double, iterations: int>>"
+DEBUG_FOLDERS = 64  # where files are hangs on it
 OCR_PAGE = "rec_texts array<string>, rec_scores array<double>, rec_polys array<array<array<int>>>, rec_boxes array<array<int>>"
 
 
@@ -104,11 +105,21 @@ def write_report(stats: DataFrame, path: str, baseline: str) -> None:
     rows.orderBy("variant").select(line.alias("value")).coalesce(1).write.text(path)
 
 
+def _bucket(session_id: Column) -> Column:
+    return F.pmod(F.hash(session_id), F.lit(DEBUG_FOLDERS))
+
+
 def write_debug(rows: DataFrame, path: str) -> None:
-    """Artifacts by session."""
-    rows.write.mode("append").partitionBy("session_id").json(path)
+    """Artifacts by session: sessions are dealt over a fixed number of folders, as a folder each is a file or more each.
+
+    A folder's rows go to few tasks, so that there are few files; a large session is split again. Lines are packed, as they are
+    several times the size of a table's rows.
+    """
+    rows = rows.withColumn("session_bucket", _bucket(F.col("session_id"))).hint("rebalance", "session_bucket")
+    rows.write.mode("append").partitionBy("session_bucket").json(path, compression="gzip")
 
 
 def read_debug(spark: SparkSession, path: str, session_id: str, schema: str) -> DataFrame:
-    """One session's artifacts; only its folder is read."""
-    return spark.read.schema(f"session_id string, {schema}").json(path).where(F.col("session_id") == session_id)
+    """One session's artifacts; only the folder that it is dealt to is read."""
+    found = spark.read.schema(f"{schema}, session_id string, session_bucket int").json(path)
+    return found.where((F.col("session_bucket") == _bucket(F.lit(session_id))) & (F.col("session_id") == session_id)).drop("session_bucket")

@@ -60,3 +60,22 @@ def test_report_and_debug_sinks(spark, tmp_path):
     assert lines[0].startswith("| a | 2.000") and lines[1].endswith("| 0.50x |")
     files.write_debug(spark.createDataFrame([("s1", 1), ("s2", 2)], "session_id string, n int"), str(tmp_path / "debug"))
     assert [r.n for r in files.read_debug(spark, str(tmp_path / "debug"), "s2", "n int").collect()] == [2]
+
+
+def test_debug_sessions_share_folders(spark, tmp_path):
+    where = tmp_path / "debug"
+    odd = ["", "007", "7", "7.0", "a/b=c", "日本", "__HIVE_DEFAULT_PARTITION__"]
+    rows = [(s, i, None if i % 2 else "x\ny") for s in [*map(str, range(1000, 1600)), *odd, None] for i in range(2)] + [("hot", i, "z") for i in range(5000)]
+    df = spark.createDataFrame(rows, "session_id string, n int, t string").repartition(6)
+    for _ in range(2):  # the second is added to the first
+        files.write_debug(df, str(where))
+    folders = [p for p in where.iterdir() if p.is_dir()]
+    assert len(folders) <= files.DEBUG_FOLDERS and len(list(where.rglob("part-*"))) <= 4 * files.DEBUG_FOLDERS
+    for s in [*odd, "1000", "1599", "hot", "none"]:
+        got = files.read_debug(spark, str(where), s, "n int, t string")
+        assert got.columns == ["n", "t", "session_id"]
+        assert sorted(map(tuple, got.select("session_id", "n", "t").collect()), key=repr) == sorted([r for r in rows if r[0] == s] * 2, key=repr)
+    assert "PartitionFilters: [isnotnull(session_bucket" in got._jdf.queryExecution().executedPlan().toString()
+    assert len(files.read_debug(spark, str(where), "hot", "n int, t string").select(F.input_file_name()).distinct().collect()) <= 4
+    files.write_debug(df.limit(0), str(tmp_path / "none"))
+    assert files.read_debug(spark, str(tmp_path / "none"), "7", "n int, t string").count() == 0
